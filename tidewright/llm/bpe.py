@@ -187,7 +187,7 @@ def coder(path: str) -> WordBpe:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ids array<int>, n_tokens, decoded text. Null and empty texts: no ids, empty decoded text.
+    """One row per document: id, ids array<int>, n_tokens, SHA-256 of the decoded text. Null and empty texts: no ids.
 
     Repeated rows give a row each; extra columns are not read; the tokenizer's path must exist on the executors.
     """
@@ -195,10 +195,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = coder(path)
         ids = c.encode(batch.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([c.decode(x) for x in ids], pa.string())], ["id", "ids", "n_tokens", "decoded"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids], pa.string())], ["id", "ids", "n_tokens", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], run, f"id {kind}, ids array<int>, n_tokens long, decoded string", 1 << 20).withColumnRenamed("id", id_col)
+    return map_rows(docs, [id_col, text_col], run, f"id {kind}, ids array<int>, n_tokens long, decoded_sha256 string", 1 << 20).withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

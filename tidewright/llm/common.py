@@ -13,6 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: A word: what lies between ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,6 +48,20 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], p
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, column: str, fn: Callable[[list], list[pa.Array]], fields: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """All rows and columns of ``df`` in place, with what ``fn`` makes of ``column``'s values as further columns."""
+    ship(df.sparkSession)
+    at, names = df.columns.index(column), [f.split(" ")[0] for f in fields.split(", ")]
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, slice_bytes):
+                yield pa.RecordBatch.from_arrays([*part.columns, *fn(part.column(at).to_pylist())], [*part.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:

@@ -13,10 +13,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_rows, written
+from .common import WORD, add_columns, map_rows, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marked", "n_short", "n_top_word", "n_lines", "n_ended", "n_pipes")
 SYMBOLS = "#*$%&|<>"
@@ -126,6 +126,21 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[tu
     return dict(zip(keys, good.tolist()))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _votes(found: DataFrame) -> DataFrame:
+    return found.withColumn("votes", F.array(*(v.cast("int") for v in rules().values())))
+
+
+def _posterior(voted: DataFrame) -> DataFrame:
+    """(votes, quality) by EM over the patterns that occur: at most 3^rules rows."""
+    patterns = {tuple(r["votes"]): r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    rows = [(list(k), p) for k, p in estimate(patterns).items()]
+    return voted.sparkSession.createDataFrame(rows, "votes array<int>, quality double")
+
+
 def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its counts, each rule's vote, base_failed, quality (posterior) and kept.
 
@@ -133,11 +148,22 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
     never kept. Null and empty texts count as zero words, so they fail. Repeated rows give a row each; extra columns
     are not read. An empty table gives an empty result.
     """
-    votes = rules()
-    found = features(docs, id_col, text_col).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    found = written(found.withColumn("votes", F.array(*(v.cast("int").alias(k) for k, v in votes.items()))), "quality")
-    patterns = {tuple(r["votes"]): r["n"] for r in found.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3^rules rows
-    posterior = estimate(patterns)
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(list(k), p) for k, p in posterior.items()], "votes array<int>, quality double")
-    return found.join(F.broadcast(known), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    found = written(_votes(features(docs, id_col, text_col)), "quality")
+    judged = found.join(F.broadcast(_posterior(found)), "votes").withColumn("base_failed", _base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+
+
+def keep(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns, in place: no row is joined by its id or shuffled."""
+
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        rows = np.array([counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
+        return [pa.StructArray.from_arrays([pa.array(c) for c in rows.T], list(COUNTS))]
+
+    inside = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
+    votes = _posterior(_votes(features(docs.select(text_col).withColumn("id", F.lit(0)), "id", text_col).drop("id")))
+    all_counts = add_columns(docs, text_col, run, f"_counts {inside}")
+    fields = {c: F.col(f"_counts.{c}") for c in COUNTS}
+    judged = all_counts.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(v.alias(k) for k, v in fields.items()))
+    judged = _votes(judged).join(F.broadcast(votes), "votes").where(~_base_failed() & (F.col("quality") >= threshold))
+    return judged.select("_row.*")

@@ -14,8 +14,9 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import add_columns, map_rows
 
 #: Strong patterns, with the least length of the part that counts (group 2 of assign).
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -95,10 +96,10 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def find_secrets(docs: DataFrame, scope: int = SCOPE, redact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_linked[, redacted text].
+def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
-    Null and empty texts have no spans; the redacted text of a null is null. Repeated rows give a row each; extra
+    Null and empty texts have no spans. Repeated rows give a row each; extra
     columns are not read.
     """
 
@@ -108,10 +109,20 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, redact: bool = False, id_c
         n = [Counter(s[0] for s in b) for b, _ in found]
         cols = [batch.column(0), *(pa.array([c[k] for c in n], pa.int64()) for k in KINDS[:3]), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found]), pa.array([joined(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64())]
         names = ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"]
-        if redact:
-            cols.append(pa.array([redacted(t, a) for t, (_, a) in zip(texts, found)], pa.string()))
-            names.append("redacted")
         return pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long" + ", redacted string" * redact).withColumnRenamed("id", id_col)
+    return map_rows(docs, [id_col, text_col], run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long").withColumnRenamed("id", id_col)
+
+
+def redact(docs: DataFrame, scope: int = SCOPE, text_col: str = "text", counted: str | None = None) -> DataFrame:
+    """The documents with every span in their text replaced by a mark; other columns, and null texts, as they were.
+
+    counted: a column that holds the text's length and follows it where the text changes.
+    """
+    cleaned = add_columns(docs, text_col, lambda texts: [pa.array([redacted(t, scan(t, scope)[1]) for t in texts], pa.string())], "_redacted string")
+    kept = {c: F.col(f"`{c}`") for c in docs.columns}
+    if counted in kept:
+        kept[counted] = F.when(F.col("_redacted") != F.col(text_col), F.length("_redacted").cast(docs.schema[counted].dataType)).otherwise(kept[counted])
+    kept[text_col] = F.col("_redacted")
+    return cleaned.select(*(v.alias(c) for c, v in kept.items()))
