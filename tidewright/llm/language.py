@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, ship, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_LANGS = 256
+SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,18 +66,27 @@ def grams(codes: np.ndarray, owner: np.ndarray, buckets: int = BUCKETS) -> tuple
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, matrix languages x BUCKETS of log-probabilities) from all rows with a text and a language."""
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs = batch.column(1).to_pylist()
-        names = sorted(set(langs))
-        codes, owner, _ = _codes(batch.column(0).to_pylist())
-        bucket, whose = grams(codes, owner)
-        index = np.array([names.index(x) for x in langs])
-        sums = np.bincount(index[whose] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
-        at = np.flatnonzero(sums)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(names, object)[at // BUCKETS], pa.string()), pa.array((at % BUCKETS).astype(np.int32)), pa.array(sums[at])], ["lang", "bucket", "n"])
-
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sums = map_rows(rows, [text_col, lang_col], count, "lang string, bucket int, n long", 16 << 20).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    def count(batches):
+        total: dict[str, np.ndarray] = {}  # at most MAX_LANGS arrays; a task's sums go out once
+        for batch in batches:
+            for part in slices(batch, SLICE_BYTES):
+                langs = part.column(1).to_pylist()
+                names = sorted(set(langs))
+                codes, owner, _ = _codes(part.column(0).to_pylist())
+                bucket, whose = grams(codes, owner)
+                index = np.array([names.index(x) for x in langs])
+                sums = np.bincount(index[whose] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
+                for name, row in zip(names, sums):
+                    total[name] = total[name] + row if name in total else row
+                if len(total) > MAX_LANGS:
+                    raise ValueError(f"more than {MAX_LANGS} languages")
+        for name, row in total.items():
+            at = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "bucket", "n"])
+
+    ship(labelled.sparkSession)
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
+    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()  # at most MAX_LANGS x BUCKETS rows
     langs = sorted(set(got.column("lang").to_pylist()))
     if len(langs) > MAX_LANGS:
@@ -110,7 +120,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str =
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(p, pa.float64())], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], run, f"id {kind}, lang_pred string, score double", 2 << 20).withColumnRenamed("id", id_col)
+    return map_rows(docs, [id_col, text_col], run, f"id {kind}, lang_pred string, score double", SLICE_BYTES).withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
