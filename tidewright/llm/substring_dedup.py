@@ -66,10 +66,13 @@ def cuts(data: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each chunk: id, seq, start, stop (code points), n_words begun in it, digest."""
+    """A row for each chunk: id, digest (96 bits as two numbers) and its place in one number.
 
-    def run(batch: pa.RecordBatch) -> pa.Table:
-        rows, seq, start, stop, words, digest = [], [], [], [], [], []
+    at = start << 16 | characters << 8 | words begun in it: few bytes, as every chunk of the corpus is shuffled.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, places, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for r, text in enumerate(batch.column(1).to_pylist()):
             if not text:
                 continue
@@ -79,20 +82,18 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             space = (arr == 32) | ((arr >= 9) & (arr <= 13))
             at = np.array(ends)
             chars, begun = np.cumsum((arr & 0xC0) != 0x80)[at - 1], np.cumsum(~space & np.r_[True, space[:-1]])[at - 1]
+            start = np.r_[0, chars[:-1]]
             rows.append(np.full(len(ends), r))
-            seq.append(np.arange(len(ends)))
-            start.append(np.r_[0, chars[:-1]])
-            stop.append(chars)
-            words.append(np.diff(begun, prepend=0))
+            places.append(start << 16 | (chars - start) << 8 | np.diff(begun, prepend=0))
             last = 0
             for end in ends:
-                digest.append(xxhash.xxh3_128_digest(data[last:end]))
+                digests.append(xxhash.xxh3_128_digest(data[last:end])[:12])
                 last = end
-        join = lambda x: pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int32))
-        return pa.table({"id": batch.column(0).take(join(rows)), "seq": join(seq), "start": join(start), "stop": join(stop), "n_words": join(words), "digest": pa.array(digest, pa.binary())})
+        both = np.frombuffer(b"".join(digests), np.dtype([("d1", "<i8"), ("d2", "<i4")]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places)), pa.array(np.ascontiguousarray(both["d1"])), pa.array(np.ascontiguousarray(both["d2"]))], ["id", "at", "d1", "d2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], run, f"id {kind}, seq int, start int, stop int, n_words int, digest binary", 2 << 20)
+    return map_rows(docs, [id_col, text_col], run, f"id {kind}, at long, d1 long, d2 int", 2 << 20)
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,10 +105,14 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     Extra columns are not read.
     """
     every = written(chunks(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "chunks")
-    known = every.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    known = written(known.where("first < last").select("digest", "first"), "repeats")
-    marked = every.join(known, "digest").drop("digest").distinct()
-    run = (F.col("seq") - F.row_number().over(Window.partitionBy("id").orderBy("seq", "start"))).alias("run")
-    spans = marked.select("*", run).groupBy("id", "run").agg(F.min("start").alias("start_char"), F.max("stop").alias("end_char"), F.count("*").alias("n_chunks"), F.sum("n_words").alias("n_words"), F.min("first").alias("first_id"))
+    known = every.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    known = written(known.where("first < last").select("d1", "d2", "first"), "repeats")
+    marked = every.join(known, ["d1", "d2"]).select("id", "at", "first").distinct()
+    start, stop = F.shiftright("at", 16), F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255)
+    marked = marked.select("id", start.alias("start"), stop.alias("stop"), F.col("at").bitwiseAND(255).alias("words"), "first")
+    in_order = Window.partitionBy("id").orderBy("start", "stop", "first")
+    begins = F.when(F.col("start") <= F.lag("stop").over(in_order), 0).otherwise(1)
+    spans = marked.withColumn("begins", begins).withColumn("run", F.sum("begins").over(in_order)).groupBy("id", "run")
+    spans = spans.agg(F.min("start").alias("start_char"), F.max("stop").alias("end_char"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.min("first").alias("first_id"))
     spans = spans.where(F.col("n_words") >= least_words).withColumn("is_first", F.col("first_id") == F.col("id"))
     return spans.select(F.col("id").alias(id_col), "start_char", "end_char", "n_chunks", "n_words", F.col("first_id"), "is_first")
