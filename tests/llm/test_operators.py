@@ -1,0 +1,452 @@
+"""The corpus operators against brute force, the libraries they must agree with, and rows made to trip them."""
+
+import collections
+import hashlib
+import html as html_lib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewright.llm import bpe, common, decontaminate, html_extract, jaccard_join, language, license_scan, quality, secret_scan, substring_dedup, token_count
+from tidewright.llm.components import components
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the of and river stone walked quietly under bright morning light toward distant hills where old farmers kept their cattle near water singing songs about winter storms".split()
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) + (r.choice("abcdefgh") * r.randint(0, 2)) for _ in range(n)).capitalize() + "."
+
+
+def frame(spark, texts, extra=True):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    df = spark.createDataFrame(rows, SCHEMA)
+    if extra:  # columns with the names the operators use inside
+        df = df.withColumns({c: F.lit("x") for c in ("id", "n", "tokens", "votes", "_counts", "_redacted", "item", "seed", "quality", "n_words", "digest", "at", "label")})
+    return df
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, white space, a very long word, a long text, repeated rows, a null id, odd characters."""
+    r = random.Random(5)
+    long = prose(r, 20_000)
+    return frame(spark, [(0, None), (1, ""), (2, " \n\t "), (3, "a" * 30_000), (4, long), (4, long), (None, prose(r, 60)), (5, "\x00   ß İ Σ日本 🙂"), (6, "word"), (7, prose(r, 70)), (8, prose(r, 70))])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# --- 7 and 2: tokenizers
+
+
+def test_token_counts(spark, odd, empty):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    out = token_count.token_counts(odd, PIECE_BPE).collect()
+    texts = collections.Counter((r["doc_id"], len((r["text"] or "").encode()), len(lib.encode(r["text"] or ""))) for r in odd.collect())
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in out) == texts
+    assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in out)
+    assert token_count.token_counts(empty, PIECE_BPE).count() == 0
+
+
+def test_every_prefix():
+    import sentencepiece
+
+    lib, c, r = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE), token_count.counter(PIECE_BPE), random.Random(3)
+    for _ in range(300):
+        t = "".join(r.choice("ab eé▁\n\r<s>in 日🙂  aaa") for _ in range(r.randint(0, 40)))
+        table = c.table(t)
+        want = [len(lib.encode(t[:i])) for i in range(len(t) + 1)]
+        assert [table.count(i) for i in range(len(t) + 1)] == want, repr(t)
+        for budget in (0, 1, 5):
+            cut = table.cut(budget)
+            assert want[cut] <= budget and all(w > budget for w in want[cut + 1 : cut + 2]) or cut == len(t)
+
+
+def test_bpe(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORD_BPE)
+    for r in bpe.encode(odd, WORD_BPE).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        ids = lib.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    for r in bpe.digests(odd, WORD_BPE).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        ids = lib.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert bpe.digests(empty, WORD_BPE).count() == 0 and bpe.digests(odd, WORD_BPE).count() == odd.count()
+    c, r = bpe.coder(WORD_BPE), random.Random(2)
+    for _ in range(500):
+        t = "".join(r.choice(["<|endoftext|>", "'s", "É", "Σ", "12", " ", "\x1c", "\xa0", "ing", "tion", "a", "🙂", chr(r.randint(0x300, 0x9FFF))]) for _ in range(r.randint(0, 20)))
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert c.encode([t])[0] == ids and c.decode(ids) == lib.decode(ids, skip_special_tokens=False), repr(t)
+
+
+# --- 3: quality
+
+
+def slow_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    lines, dup = [], 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in lines
+            lines.append(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def test_quality_counts(spark, odd, empty):
+    r = random.Random(1)
+    texts = [" ".join(r.choice("ab c# d|") for _ in range(r.randint(0, 60))) + "\n" * r.randint(0, 2) + "x y\nx y\n z" for _ in range(200)]
+    for t in [None, "", "  a", *texts]:
+        assert quality.counts(t)[:5] == slow_counts(t)
+    judged = quality.judge(odd)
+    assert judged.count() == odd.count()
+    for x in judged.collect():
+        assert x["base_failed"] == (x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"])
+        assert not (x["base_failed"] and x["kept"])
+    assert quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0
+
+
+def test_quality_verdict(spark):
+    r = random.Random(4)
+    good = [(i, "\n".join(prose(r, 40) for _ in range(3))) for i in range(120)]
+    bad = [(1000 + i, " ".join(w.upper() + "!!" for w in prose(r, 90).split())) for i in range(15)] + [(2000 + i, " ".join(w + r.choice(["%%%", "###"]) for w in prose(r, 90).split())) for i in range(15)]
+    docs = frame(spark, good + bad)
+    kept = {x["doc_id"] for x in quality.judge(docs).where("kept").collect()}
+    assert kept == {i for i, _ in good}
+    stay = quality.keep(docs)
+    assert stay.columns == docs.columns and {x["doc_id"] for x in stay.collect()} == kept
+    assert quality.estimate({}) == {}
+    p = quality.estimate({(1, 1): 90, (-1, 1): 1, (-1, -1): 9})
+    assert p[1, 1] > 0.9 > 0.5 > p[-1, -1]
+
+
+# --- 8: secrets
+
+
+def slow_base(text):
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def test_secrets(spark, odd, empty):
+    r = random.Random(9)
+    bits = ["password", "=", ": ", '"', "AKIA", "ABCDEFGH1234567890", "deadbeef", "0123456789abcdef", " ", "token", "'", "api_key", "ſecret", "\n", "é"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(500)]
+    for t in texts:
+        strong, every = secret_scan.scan(t)
+        assert strong == slow_base(t) and set(strong) <= set(every)
+        assert strong == secret_scan.base(t)
+    out = secret_scan.find_secrets(frame(spark, list(enumerate(texts)))).collect()
+    for x in out:
+        want = slow_base(texts[x["doc_id"]])
+        assert (x["n_assign"], x["n_access"], x["n_hex"]) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
+        assert x["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    assert secret_scan.find_secrets(odd).count() == odd.count() and secret_scan.find_secrets(empty).count() == 0
+
+
+def test_linked_parts(spark):
+    weak = "user=alice99 and later kT9x2LmQ8vZp4RwY7sBn3Hc at https://api.example.com/v1"
+    strong, every = secret_scan.scan(weak)
+    assert not strong and [s[0] for s in every] == ["link_id", "link_secret", "link_endpoint"]
+    for alone in ("user=alice99 likes tea", "see https://api.example.com/v1 for more", "kT9x2LmQ8vZp4RwY7sBn3Hc", "user=alice99" + " filler" * 60 + " kT9x2LmQ8vZp4RwY7sBn3Hc"):
+        assert secret_scan.scan(alone) == ([], [])
+    assert [s[0] for s in secret_scan.scan("host=db.internal password=hunter22")[1]] == ["link_endpoint", "assign"]
+    docs = frame(spark, [(1, "a password=abc123 b"), (2, None), (3, "clean"), (4, "token=aaaaaa token=bbbbbb")])
+    out = by_id(secret_scan.redact(docs, counted="n_chars"))
+    assert out[1]["text"] == "a [REDACTED] b" and out[1]["n_chars"] == len("a [REDACTED] b") and out[2]["text"] is None and out[3]["text"] == "clean"
+    assert out[4]["text"] == "[REDACTED] [REDACTED]" and secret_scan.redact(docs).columns == docs.columns
+
+
+# --- 9: language
+
+
+def test_language(spark, odd, empty):
+    r = random.Random(6)
+    parts = {"aa": "ka lo mi ten sur", "bb": "the wind was over them", "cc": "ñandú él ação über"}
+    texts = [(i, " ".join(r.choice(parts[k].split()) for _ in range(30))) for i, k in enumerate(list(parts) * 60)]
+    docs = frame(spark, texts).withColumn("lang", F.element_at(F.array(*map(F.lit, parts)), (F.col("doc_id") % 3 + 1).cast("int")))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, None).otherwise(F.col("lang")))
+    out = by_id(language.identify(docs))
+    import zlib
+
+    assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, x in out.items())
+    assert all(x["lang_pred"] == list(parts)[i % 3] and 0 <= x["score"] <= 1 for i, x in out.items())
+    got = language.identify(odd.unionByName(odd.limit(0))).collect()
+    assert len(got) == odd.count() and {x["lang_pred"] for x in got if x["doc_id"] in (0, 1, 2)} == {"und"}
+    assert language.identify(empty).count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {x["lang_pred"] for x in language.identify(unlabelled).collect()} == {"und"}
+
+
+def test_language_sums():
+    langs, texts = ["x", "y"], ["ab ab", "zz"]
+    codes, owner, has = language._codes([*texts, "12", None])
+    assert has.tolist() == [True, True, False, False]
+    bucket, whose = language.grams(codes, owner)
+    assert sorted(collections.Counter(whose.tolist()).items()) == [(0, 15), (1, 6), (2, 1), (3, 1)]  # n-grams of 1 to 3 of " ab ab", " zz", " ", " "
+    import numpy as np
+
+    m = np.log(np.full((2, language.BUCKETS), 1 / language.BUCKETS)).astype(np.float32)
+    lang, p = language.classify(texts + ["12"], langs, m)
+    assert lang[2] == "und" and p[2] == 0 and p[0] == pytest.approx(0.5)
+
+
+# --- 10: pages
+
+
+def test_pages(spark):
+    page = "<html><head><title>T</title></head><body><nav><ul><li><a href=1>Home</a></li></ul></nav><div class='cookie-banner'><p>We use cookies to keep this page working for you.</p></div><article><h1>A &amp; B</h1><p><b>First   part<br>goes on<p>Second &lt;one&gt;</p><div class=ad>Buy now and save</div><ul><li>one<li>two</ul><table><tr><td>x<td>y</table><script>var a='</p>';</script></article><aside><p>Related stories of the week</p></aside><section id=comments><h2>Comments</h2><div class=comment><p>I liked the story very much indeed.</p></div></section><form><label>Mail</label><input></form><footer>&copy; us</footer></body></html>"
+    rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "plain words"), (5, "u", "<p>" * 3000 + "deep"), (6, "u", "<!-- open"), (7, "u", "<div><p>a<b>b</p></i></div></div>c<" + "x" * 10), (1, "u", page)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(0), "id": F.lit(1)})
+    out = html_extract.extract(df, also=("url",)).collect()
+    assert len(out) == len(rows)
+    got = {r["page_id"]: r for r in out}
+    assert got[1]["text"] == "A & B\n\nFirst part goes on\n\nSecond <one>\n\none\n\ntwo\n\nx\n\ny"
+    assert got[2]["text"] == got[3]["text"] == got[6]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_page_model():
+    model, r, missed, wrong, total = html_extract.trained(), random.Random(77), 0, 0, 0
+    for _ in range(100):
+        page = html_extract.labelled_page(r)  # held out: another seed
+        words = html_extract.main_text(page, model).split()
+        every = " ".join(t for _, t in html_extract.Page(page).blocks).split()
+        total += len(every)
+        missed += sum(w[0] == "c" for w in every) - sum(w[0] == "c" for w in words)
+        wrong += sum(w[0] == "x" for w in words)
+    assert missed + wrong < 0.01 * total
+    small = html_extract.Page("<div><p>" + "word " * 40 + "</p><nav>x</nav></div>")
+    p, n = brute_marginals(model, small), len(small.tag)
+    assert p == pytest.approx(model.marginals(small), abs=1e-9) and n == 4
+
+
+def brute_marginals(model, page):
+    """Marginals by summing over all labellings."""
+    import itertools
+    import math
+
+    feats, n = page.features(), len(page.tag)
+    total, on = 0.0, [0.0] * n
+    for labels in itertools.product((0, 1), repeat=n):
+        w = model.prior if labels[0] else 1 - model.prior
+        for i, f in enumerate(feats):
+            s = 1 / (1 + math.exp(-0.5 * sum(model.node.get(x, 0.0) for x in f)))
+            w *= s if labels[i] else 1 - s
+            if i:
+                w *= model.edge.get(model._kind(f), model.edge[""])[labels[page.parent[i]]][labels[i]]
+        total += w
+        for i in range(n):
+            on[i] += w * labels[i]
+    return [x / total for x in on]
+
+
+def test_pages_of_the_corpus(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    model = html_extract.trained()
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1].replace("<br>", " ")
+        blocks = [re.sub(r"\s+", " ", html_lib.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:h1|p)>", article)]
+        assert html_extract.main_text(r["html"], model) == "\n\n".join(b for b in blocks if b)
+
+
+# --- 5: licences
+
+
+def test_licences(spark, odd, empty):
+    mit = "The MIT License (MIT)\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'
+    cases = {"Intro text.\n" + mit: ["MIT"], "x.\n" + apache: ["Apache-2.0"], "Fine prose here.\nReleased under the MIT License.": ["MIT"], "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0-only"], "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"], "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"], "SPDX-License-Identifier: BSD-3-Clause": ["BSD-3-Clause"], "He has a license to drive under the river.": [], "": []}
+    for text, want in cases.items():
+        found = license_scan.licences(text)
+        assert [x[0] for x in found] == want, text
+        assert all(0 <= a < b <= len(text) for _, a, b in found)
+    docs = frame(spark, list(enumerate(cases)))
+    assert sorted((r["doc_id"], r["licence"]) for r in license_scan.find_licences(docs).collect()) == sorted((i, x) for i, w in enumerate(cases.values()) for x in w)
+    assert license_scan.find_licences(odd).count() == 0 and license_scan.find_licences(empty).count() == 0
+    for name, rule in license_scan.RULES:  # every rule's sentences exist
+        assert name and all(step.rstrip("?") in license_scan.SENTENCES for step in rule)
+
+
+# --- 1: substrings
+
+
+def test_cuts_follow_the_content():
+    r = random.Random(8)
+    text = prose(r, 400).encode()
+    parts = lambda b: [b[i:j] for i, j in zip([0, *substring_dedup.cuts(b)], substring_dedup.cuts(b))]
+    assert b"".join(parts(text)) == text
+    shifted = parts(text[:500] + b"inserted words " + text[500:])
+    assert len(set(parts(text)) & set(shifted)) >= 0.9 * len(set(parts(text)))
+    odd = ("é日" * 500).encode()
+    assert all(c.decode() for c in parts(odd)) and max(map(len, parts(odd))) <= substring_dedup.GREATEST
+    import numpy as np
+
+    data, h, want = text[:200], 0, []
+    for b in data:
+        h = (2 * h + int(substring_dedup.GEAR[b])) % 2**32
+        want.append(h)
+    assert substring_dedup.gear_hashes(np.frombuffer(data, np.uint8)).tolist() == want
+
+
+def test_repeated_spans(spark, odd, empty):
+    r = random.Random(10)
+    passage = prose(r, 80)
+    texts = [(i, prose(r, 120) + "\n" + (passage if i % 5 == 0 else prose(r, 30)) + " " + prose(r, 50)) for i in range(40)] + [(100, prose(r, 5)), (101, prose(r, 300))]
+    texts.append((102, texts[-1][1]))
+    out = substring_dedup.repeated_spans(frame(spark, texts)).collect()
+    assert {x["doc_id"] for x in out} == {i for i in range(0, 40, 5)} | {101, 102}
+    for x in out:
+        t = dict(texts)[x["doc_id"]][x["start_char"] : x["end_char"]]
+        assert t in dict(texts)[x["first_id"]] and x["is_first"] == (x["doc_id"] == x["first_id"])
+    assert {x["first_id"] for x in out} == {0, 101}
+    assert substring_dedup.repeated_spans(odd).count() == 0 and substring_dedup.repeated_spans(empty).count() == 0
+
+
+# --- 6: Jaccard
+
+
+def slow_links(texts, percent=85, k=4):
+    sets = {}
+    for i, t in texts:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[j : j + k]) for j in range(len(w) - k + 1)])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            inter = len(sets[a] & sets[b])
+            if a < b and inter and 100 * inter >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard(spark, odd, empty):
+    r = random.Random(12)
+    base, shared = prose(r, 150).split(), prose(r, 60)
+    texts = [(i, prose(r, 90) + " " + (shared if i % 3 == 0 else "")) for i in range(0, 60)]
+    for i in range(60, 160):  # near copies of one text, more or less edited, some of them linked by others only
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            w[r.randrange(len(w))] = "edit%d" % r.randrange(10**6)
+        texts.append((i, " ".join(w).upper() if i % 2 else " ".join(w)))
+    texts += [(160, "one two"), (161, "ONE two"), (162, ""), (163, None), (164, "two one")]
+    r.shuffle(texts)
+    out = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.link_components(frame(spark, texts)).collect()}
+    want = slow_links(sorted(texts))
+    assert out == want and len({c for _, c in want.values()}) < 150
+    kept = jaccard_join.keep_one(frame(spark, texts))
+    assert {x["doc_id"] for x in kept.collect()} == {c for _, c in want.values()}
+    assert jaccard_join.link_components(odd).count() == odd.count()
+    assert jaccard_join.keep_one(odd).count() == odd.select("doc_id").distinct().count()
+    assert jaccard_join.link_components(empty).count() == 0 and jaccard_join.keep_one(empty).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(13)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(50)]
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {x: x for p in links for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert all(got.get(x, x) == find(x) for x in root)
+
+
+# --- 4: decontamination
+
+
+def test_decontamination(spark, odd, empty):
+    r = random.Random(14)
+    items = [(k, prose(r, 40)) for k in range(8)] + [(50, None), (51, "too short to tell"), (52, prose(r, 9))]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("x") for c in ("item", "tokens", "seed", "id")})
+    item = dict(items)
+
+    def planted(text, every=0):
+        w = text.split()
+        return " ".join("swapped" if every and i % every == every - 1 else x for i, x in enumerate(w))
+
+    texts = [(i, prose(r, 120)) for i in range(30)]
+    leaks = {100: (0, item[0]), 101: (1, item[1].upper().replace(" ", ", ")), 102: (2, planted(item[2], 5)), 103: (3, planted(item[3], 4)), 104: (4, planted(item[4], 6)), 105: (5, " ".join(item[5].split()[10:30])), 106: (52, item[52])}
+    texts += [(i, prose(r, 50) + " " + t + " " + prose(r, 20)) for i, (_, t) in leaks.items()]
+    docs = frame(spark, texts)
+    out = {(x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(docs, bench).collect()}
+    assert out == {(i, k) for i, (k, _) in leaks.items()}
+    stay = decontaminate.clean(docs, bench)
+    assert {x["doc_id"] for x in stay.collect()} == set(range(30)) and stay.columns == docs.columns
+    assert decontaminate.overlaps(odd, bench).count() == 0 and decontaminate.clean(odd, bench).count() == odd.count()
+    assert decontaminate.overlaps(empty, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
+    wide = decontaminate.BROADCAST_SEEDS
+    decontaminate.BROADCAST_SEEDS = 0  # the shuffled way gives the same
+    try:
+        assert {(x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(docs, bench).collect()} == out
+    finally:
+        decontaminate.BROADCAST_SEEDS = wide
+
+
+def test_decontamination_is_native(spark):
+    docs = frame(spark, [(1, "a b c")])
+    plan = decontaminate.overlaps(docs, spark.createDataFrame([(1, "x")], "item_id long, text string"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- shared helpers
+
+
+def test_slices(spark):
+    import pyarrow as pa
+
+    b = pa.record_batch({"id": [1, 2, 3, 4], "text": ["a" * 100, None, "b" * 500, ""]})
+    parts = list(common.slices(b, 300))
+    assert sum(p.num_rows for p in parts) == 4 and max(p.num_rows for p in parts) < 4
+    assert list(common.slices(b.slice(0, 0))) == []
+
+
+def test_written_uses_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_paths", [])
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    out = common.written(spark.range(5), "t")
+    assert any(tmp_path.rglob("*.parquet")) and out.count() == 5
+    common.drop_written()
+    assert not any(tmp_path.rglob("*.parquet"))
+
+
+def test_shared_folder_is_the_clusters(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.checkpoint.dir": "hdfs://store/shared/"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    assert common.shared_folder(Session()) == "hdfs://store/shared"

@@ -48,6 +48,13 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], p
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of the frame has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def add_columns(df: DataFrame, column: str, fn: Callable[[list], list[pa.Array]], fields: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """All rows and columns of ``df`` in place, with what ``fn`` makes of ``column``'s values as further columns."""
     ship(df.sparkSession)

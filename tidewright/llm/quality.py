@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, add_columns, map_rows, written
+from .common import WORD, add_columns, free_name, map_rows, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marked", "n_short", "n_top_word", "n_lines", "n_ended", "n_pipes")
 SYMBOLS = "#*$%&|<>"
@@ -162,8 +162,9 @@ def keep(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> Dat
 
     inside = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
     votes = _posterior(_votes(features(docs.select(text_col).withColumn("id", F.lit(0)), "id", text_col).drop("id")))
-    all_counts = add_columns(docs, text_col, run, f"_counts {inside}")
-    fields = {c: F.col(f"_counts.{c}") for c in COUNTS}
+    name = free_name(docs, "_counts")
+    all_counts = add_columns(docs, text_col, run, f"{name} {inside}")
+    fields = {c: F.col(f"{name}.{c}") for c in COUNTS}
     judged = all_counts.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(v.alias(k) for k, v in fields.items()))
     judged = _votes(judged).join(F.broadcast(votes), "votes").where(~_base_failed() & (F.col("quality") >= threshold))
     return judged.select("_row.*")

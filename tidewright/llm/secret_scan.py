@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_rows
+from .common import add_columns, free_name, map_rows
 
 #: Strong patterns, with the least length of the part that counts (group 2 of assign).
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -120,9 +120,10 @@ def redact(docs: DataFrame, scope: int = SCOPE, text_col: str = "text", counted:
 
     counted: a column that holds the text's length and follows it where the text changes.
     """
-    cleaned = add_columns(docs, text_col, lambda texts: [pa.array([redacted(t, scan(t, scope)[1]) for t in texts], pa.string())], "_redacted string")
+    name = free_name(docs, "_redacted")
+    cleaned = add_columns(docs, text_col, lambda texts: [pa.array([redacted(t, scan(t, scope)[1]) for t in texts], pa.string())], f"{name} string")
     kept = {c: F.col(f"`{c}`") for c in docs.columns}
     if counted in kept:
-        kept[counted] = F.when(F.col("_redacted") != F.col(text_col), F.length("_redacted").cast(docs.schema[counted].dataType)).otherwise(kept[counted])
-    kept[text_col] = F.col("_redacted")
+        kept[counted] = F.when(F.col(name) != F.col(text_col), F.length(name).cast(docs.schema[counted].dataType)).otherwise(kept[counted])
+    kept[text_col] = F.col(name)
     return cleaned.select(*(v.alias(c) for c, v in kept.items()))
