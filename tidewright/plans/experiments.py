@@ -275,3 +275,19 @@ def storage(root: str) -> dict[str, dict[str, int]]:
         files = list(layer.rglob("*.parquet"))
         out[layer.name] = {"bytes": sum(f.stat().st_size for f in files), "files": len(files)}
     return out
+
+
+def product_benchmark(spark: SparkSession, on_demand: Mapping[str, Callable[[], DataFrame]], stored: Mapping[str, Callable[[], DataFrame]], runs: int = 3) -> list[dict]:
+    """Seconds to compute a product anew and to read it stored, and whether both give the same rows."""
+    out = []
+    for name, fresh in on_demand.items():
+        a, b = fresh(), stored[name]().select(*fresh().columns)
+        equal = Snapshot.of(a.columns, a.collect()).matches(Snapshot.of(b.columns, b.collect()))
+        out.append({"product": name, "on_demand_s": timed(lambda f=fresh: f().collect(), runs), "stored_s": timed(lambda f=stored[name]: f().collect(), runs), "equal": equal})
+    return out
+
+
+def evaluation(update: Callable[[], object], refresh: Mapping[str, Callable[[], object]], plain: Callable[[], object], validated: Callable[[], object], monitored: Callable[[], object], root: str, repeats: int = 3) -> dict:
+    """Figures of a running system: update and refresh times, what validation and monitoring add, storage by layer."""
+    each = {k: timed(f, repeats) for k, f in refresh.items()}
+    return {"update_s": timed(update, repeats), "refresh_s": each, "refresh_total_s": sum(each.values()), "validation": overhead(plain, validated, repeats), "monitoring": overhead(plain, monitored, repeats), "storage": storage(root)}

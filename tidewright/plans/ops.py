@@ -89,3 +89,9 @@ def best_effort(fn: Callable) -> Callable:
 def record(table, spark: SparkSession, rows: list[dict], txn: str | None = None) -> int | None:
     """Appends rows to the run log, a snapshot table; the same transaction is applied once."""
     return table.append(runs_frame(spark, rows), txn=txn)
+
+
+@best_effort
+def record_schema_change(table, spark: SparkSession, dataset: str, old: SchemaContract, new: SchemaContract, run_id: str | None = None) -> int | None:
+    """Adds the event of a new contract version; a known one is left as it is."""
+    return table.merge(events_frame(spark, [schema_event(dataset, old, new, run_id)]), ["event_id"], update=False)
