@@ -1,12 +1,13 @@
 """N-gram Jaccard self-join over a token-group matrix.
 
-Equal shingle sets are one set. Sets that share a band of minimum hashes are tried against the least set of the band;
-the verified links partition similar sets into groups (of bounded size: a large one is dealt into blocks). The
-token-group matrix holds the tokens of each group. A set can only reach the threshold with a set that shares one of its
-rarest tokens, so those tokens are looked up in the matrix; for each group of another partition that comes up, the
-set's overlap with the group's token union bounds its overlap with every member, and only groups that reach the bound
-are opened and compared member by member. Links inside a partition need no second proof, so no group is multiplied out.
-The result does not depend on the bands: they only say how sets are grouped.
+Equal shingle sets are one set. Sets that share a band of minimum hashes are tried against the band's most central set;
+verified links give the first partition. Sets with the same most central set form a group of similar sets (a large one
+is dealt into blocks of bounded size). The token-group matrix says which groups hold which of the rarest tokens. Two sets
+that reach the threshold share a part of their rarest tokens that follows from their sizes, so how many of a set's
+rarest tokens a group holds bounds its overlap with every member; where that is enough, the overlap with the union of
+all the group's tokens is a sharper bound, and only groups that reach it too are opened and compared member by member.
+Members that the first partition has linked already need no second proof. The result does not depend on the bands: they
+only say how sets are grouped.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ WORDS = 4
 PERCENT = 85
 BANDS, BAND_ROWS = 6, 2
 BLOCK = 64
-#: Cells of the frequency sketch that orders tokens from rare to frequent; fixed, so what is broadcast is 4 MB.
-SKETCH_BITS, SKETCH_SLICES = 20, 64
+#: Cells of the frequency sketch that orders tokens from rare to frequent; fixed, so what is broadcast is 16 MB.
+SKETCH_BITS, SKETCH_SLICES = 22, 128
+#: Two linked sets of n tokens share n // SHARED_PART + 1 of their rarest tokens, as many more are taken than one would need.
+SHARED_PART = 15
 CELLS = 1 << 18
+SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20_240_501).integers(1, 1 << 62, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -58,7 +62,7 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), digest of the set (null if empty), tokens, bands."""
+    """id, n (set size), digest of the set (null if empty), sid (its first 64 bits), tokens, bands."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
@@ -73,11 +77,11 @@ def shingle_sets(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_c
                 keys[full, r // BAND_ROWS] = _mix(keys[full, r // BAND_ROWS] * _MIX + low + np.uint64(r))
         tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), digests, tokens, bands], ["id", "n", "digest", "tokens", "bands"])
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array([d and int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), tokens, bands], ["id", "n", "digest", "sid", "tokens", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], run, f"id {kind}, n long, digest binary, tokens array<long>, bands array<long>")
+    return map_rows(docs, [id_col, text_col], run, f"id {kind}, n long, digest binary, sid long, tokens array<long>, bands array<long>", SLICE_BYTES)
 
 
 def token_sketch(sets: DataFrame) -> np.ndarray:
@@ -86,46 +90,51 @@ def token_sketch(sets: DataFrame) -> np.ndarray:
     cells = (1 << SKETCH_BITS) // SKETCH_SLICES
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         part = 0
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            np.add.at(total, (flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), 1)
             part = int(flat[0] & np.uint64(31)) if len(flat) else part
         rows = [zlib.compress(x.tobytes(), 1) for x in total.reshape(SKETCH_SLICES, cells)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([part] * SKETCH_SLICES, pa.int32()), pa.array(rows, pa.binary())], ["slice", "part", "cells"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.int32)
         for x in table.column("cells"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
         return pa.table({"slice": table.column("slice")[:1], "part": pa.array([0], pa.int32()), "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     schema = "slice int, part int, cells binary"
     counted = sets.select("tokens").mapInArrow(count, schema)
     merged = counted.groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    out = np.zeros((SKETCH_SLICES, cells), np.int64)
+    out = np.zeros((SKETCH_SLICES, cells), np.int32)
     for r in merged.collect():  # SKETCH_SLICES rows of fixed size
-        out[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.int64)
-    return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
+        out[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.int32)
+    return out.reshape(-1)
 
 
 def rare_tokens(sets: DataFrame, sketch: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(id, n, token) for the n - ceil(percent n / 100) + 1 rarest tokens of each set, in one order for all sets."""
+    """(sid, token) for the n - ceil(percent n / 100) + n // SHARED_PART + 1 rarest tokens of each set, in one order for all.
+
+    Of two linked sets each holds all but that many minus k tokens in common, so the first k = n // SHARED_PART + 1 common
+    tokens in the order are among the rarest of both.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(sketch)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        sid = np.frombuffer(b"".join(d[:8] for d in part.column(0).to_pylist()), np.int64)
+        sid, first = np.unique(sid, return_index=True)  # of equal sets in a slice one is enough
+        part = part.take(pa.array(first))
         lists = part.column(1)
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((flat, shared.value[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
         rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = order[rank < np.repeat(sizes + percent * sizes // -100 + 1, sizes)]  # floor of the negative: minus the ceiling
-        mine = pa.array(owner[at])
-        return pa.RecordBatch.from_arrays([part.column(0).take(mine), pa.array(sizes).take(mine), pa.array(flat[at].view(np.int64))], ["id", "n", "token"])
+        at = order[rank < np.repeat(sizes + percent * sizes // -100 + sizes // SHARED_PART + 1, sizes)]  # floor of the negative: minus the ceiling
+        return pa.RecordBatch.from_arrays([pa.array(sid[owner[at]]), pa.array(flat[at].view(np.int64))], ["sid", "token"])
 
-    kind = sets.schema["id"].dataType.simpleString()
     ship(sets.sparkSession)
 
     def each(batches):
@@ -133,7 +142,7 @@ def rare_tokens(sets: DataFrame, sketch: np.ndarray, percent: int = PERCENT) ->
             for i in range(0, b.num_rows, 1000):
                 yield run(b.slice(i, 1000))
 
-    return sets.select("id", "tokens").mapInArrow(each, f"id {kind}, n long, token long")
+    return sets.select("digest", "tokens").mapInArrow(each, "sid long, token long")
 
 
 def _linked(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -147,19 +156,22 @@ def link_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_
     share an id count as one document for its links; a null id has a null component unless a copy has an id. Extra
     columns are not read.
     """
-    all_sets = written(shingle_sets(docs, k, id_col, text_col), "sets")
-    reps = written(all_sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n")), "reps")
-    roots = written(_star_links(all_sets, reps, percent), "stars")
-    labels = components(roots, "stars")
-    # every set's partition; blocks of about BLOCK sets
-    root = F.coalesce(F.col("root"), F.col("id"))
-    placed = written(reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "digest", "n", root.alias("label")), "placed")
-    sizes = written(placed.groupBy("label").agg(F.count("*").alias("members")), "sizes")
-    placed = written(placed.join(sizes, "label").select("id", "digest", "n", "label", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)).alias("block")), "placed")
-    links = written(_matrix_links(all_sets, placed, percent), "links")
-    merged = components(links, "merged")
-    final = written(placed.join(merged.withColumnRenamed("node", "label"), "label", "left").select("digest", F.coalesce("root", "label").alias("component_id")), "final")
-    plain = all_sets.select("id", "n", "digest")
+    sets = written(shingle_sets(docs, k, id_col, text_col), "sets")
+    reps = written(sets.where("n > 0 and id is not null").groupBy("digest", "sid").agg(F.min("id").alias("id"), F.max("n").alias("n")), "reps")
+    bands = sets.where("n > 0").select("id", "digest", "bands").join(reps.select("id", "digest"), ["id", "digest"], "left_semi")
+    bands = written(bands.select("id", F.posexplode("bands").alias("band", "key")).dropDuplicates(["id", "band"]), "bands")
+    ranked, pivots = _pivots(bands)
+    labels = components(_star_links(sets, ranked, pivots, percent), "stars")
+    own = ranked.join(pivots, ["band", "key"]).groupBy("id").agg(F.max_by("p", F.struct("p_rank", -F.col("p"))).alias("g"))
+    groups = written(reps.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("g", "id").alias("g")), "groups")
+    sizes = written(groups.groupBy("g").agg(F.count("*").alias("members")), "sizes")
+    groups = written(groups.join(sizes, "g").select("id", "g", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("block")), "groups")
+    placed = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").join(groups, "id")
+    placed = written(placed.select("sid", "id", "digest", F.col("n").cast("int").alias("n"), F.coalesce("root", "id").alias("label"), "g", "block"), "placed")
+    merged = components(_matrix_links(sets, placed, percent), "merged")
+    final = placed.join(merged.withColumnRenamed("node", "label"), "label", "left").select("digest", F.coalesce("root", "label").alias("component_id"))
+    final = written(final, "final")
+    plain = sets.select("id", "n", "digest")
     some = plain.where("n > 0").join(final, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     none = plain.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return some.unionByName(none)
@@ -171,37 +183,75 @@ def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.withColumn("cell", cell).join(F.broadcast(ids.select(cell).distinct()), "cell", "left_semi").drop("cell")
 
 
-def _star_links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) of sets to the least set of a band; as many as sets times bands at most."""
-    keyed = sets.where("n > 0").select("id", "digest", "bands").join(reps.select("id", "digest"), ["id", "digest"], "left_semi")
-    keyed = written(keyed.select("id", F.posexplode("bands").alias("band", "key")), "bands")
-    least = written(keyed.groupBy("band", "key").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b < z").select("band", "key", "b"), "pivots")
-    pairs = written(keyed.join(least, ["band", "key"]).where("id > b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
+def _pivots(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bands of two sets or more by id, the most central and the least set of each).
+
+    A set is the more central the larger its bands are; what near copies were made from stands in most of them.
+    """
+    counted = written(bands.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1"), "counted")
+    shared = written(bands.join(counted, ["band", "key"]), "shared")
+    central = shared.groupBy("id").agg(F.sum("c").alias("rank"))
+    ranked = written(shared.drop("c").join(central, "id"), "ranked")
+    best = F.max(F.struct("rank", (-F.col("id")).alias("m")))
+    pivots = ranked.groupBy("band", "key").agg(best.alias("best"), F.min("id").alias("q"))
+    return ranked, written(pivots.select("band", "key", (-F.col("best.m")).alias("p"), F.col("best.rank").alias("p_rank"), "q"), "pivots")
+
+
+def _star_links(sets: DataFrame, ranked: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) of sets to the most central and the least set of each of their bands: linear in the sets."""
+    each = ranked.select("id", "band", "key").join(pivots, ["band", "key"]).select("id", F.explode(F.array("p", "q")).alias("b"))
+    pairs = each.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
     own = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("id"))).select("id", "n", "tokens")
     left = own.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = own.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return both.where(_linked(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _needed(n_q: str, n_y: Column, percent: int) -> Column:
+    """How many of the rarest tokens two linked sets of these sizes share at least, two less for rounding.
+
+    They share percent (n_q + n_y) / (100 + percent) tokens, and those that are not among the rarest of both are all
+    beyond the rarest of one of them.
+    """
+    def beyond(n: Column) -> Column:
+        return F.ceil(n * percent / 100) - F.floor(n / SHARED_PART) - 1
+
+    q = F.col(n_q)
+    return F.ceil(percent * (q + n_y) / (100 + percent)) - F.greatest(beyond(q), beyond(n_y)) - 2
+
+
 def _matrix_links(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between partitions: by the token-group matrix, the bound on a group's union, and opened groups."""
-    rare = rare_tokens(sets.where("n > 0"), token_sketch(sets.where("n > 0")), percent)
-    rare = written(rare.join(placed.select("id", "label", "block"), "id"), "rare")
-    shared = written(rare.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token"), "shared")
-    rare = written(rare.join(shared, "token", "left_semi"), "rare")
-    matrix = written(rare.select("token", F.col("label").alias("g_label"), F.col("block").alias("g_block")).distinct(), "matrix")
-    found = rare.join(matrix, "token").where("label > g_label").select("id", "n", "label", "g_label", "g_block").distinct()
-    found = written(found, "candidates")
-    groups = placed.join(found.select(F.col("g_label").alias("label"), F.col("g_block").alias("block")).distinct(), ["label", "block"])
-    groups = written(groups.select("id", "label", "block"), "members")
-    groups = groups.join(_only(sets, groups.select("id")).select("id", "n", "tokens"), "id")
-    groups = groups.groupBy("label", "block").agg(F.collect_list(F.struct("n", "tokens")).alias("members"))
-    groups = written(groups.select(F.col("label").alias("g_label"), F.col("block").alias("g_block"), "members", F.array_distinct(F.flatten("members.tokens")).alias("union")), "groups")
-    asked = found.join(_only(sets, found.select("id")).select("id", "tokens"), "id").join(groups, ["g_label", "g_block"])
+    """Links (a, b) between labels of the first partition: matrix, union bound, opened groups."""
+    full = sets.where("n > 0")
+    rare = rare_tokens(full, token_sketch(full), percent)
+    several = written(rare.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x < y").select("token"), "several")
+    rare = written(rare.join(several, "token", "left_semi").distinct(), "rare")  # tokens that occur in two sets or more
+    rare = written(rare.join(placed.drop("digest"), "sid").drop("sid"), "rare")
+    across = written(rare.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token"), "across")
+    rare = written(rare.join(across, "token", "left_semi"), "rare")  # and not only in linked ones
+    matrix = rare.groupBy("token", "g", "block").agg(F.min("label").alias("g_label"))
+    meta = placed.groupBy("g", "block").agg(F.min("n").alias("g_min"), F.max("n").alias("g_max"))
+    matrix = written(matrix.join(meta, ["g", "block"]).withColumnsRenamed({"g": "of", "block": "part"}), "matrix")
+    found = rare.join(matrix, "token").where("g_label < label").groupBy("id", "n", "label", "of", "part", "g_min", "g_max").agg(F.count("*").alias("k"))
+    low, high = F.greatest(F.ceil(F.col("n") * percent / 100), "g_min"), F.least(F.floor(F.col("n") * 100 / percent), "g_max")
+    enough = F.greatest(F.lit(1), F.least(_needed("n", low, percent), _needed("n", high, percent)))
+    found = written(found.where((low <= high) & (F.col("k") >= enough)).select("id", "n", "label", "of", "part"), "candidates")
+    wanted = written(placed.join(found.select(F.col("of").alias("g"), F.col("part").alias("block")).distinct(), ["g", "block"]).select("id", "label", "g", "block"), "members")
+    groups = wanted.join(_only(sets, wanted.select("id")).select("id", "n", "tokens"), "id")
+    groups = groups.groupBy("g", "block").agg(F.collect_list(F.struct("label", "n", "tokens")).alias("members"))
+    groups = written(groups.select(F.col("g").alias("of"), F.col("block").alias("part"), "members", F.array_distinct(F.flatten("members.tokens")).alias("union")), "opened")
+    asked = found.join(_only(sets, found.select("id")).select("id", "tokens"), "id").join(groups, ["of", "part"])
     bound = 100 * F.size(F.array_intersect("tokens", "union")) >= percent * F.col("n")
-    opened = F.exists("members", lambda m: _linked(F.size(F.array_intersect(F.col("tokens"), m["tokens"])), F.col("n"), m["n"], percent))
-    return asked.where(F.when(bound, opened).otherwise(False)).select(F.col("label").alias("a"), F.col("g_label").alias("b")).distinct()
+
+    def linked(m: Column) -> Column:
+        fits = (m["label"] < F.col("label")) & (100 * F.least(F.col("n"), m["n"]) >= percent * F.greatest(F.col("n"), m["n"]))
+        return F.when(fits, _linked(F.size(F.array_intersect(F.col("tokens"), m["tokens"])), F.col("n"), m["n"], percent)).otherwise(False)
+
+    # of a group's members each label counts once
+    hit = F.when(bound, F.array_distinct(F.transform(F.filter("members", linked), lambda m: m["label"])))
+    return asked.select(F.col("label").alias("a"), F.explode(hit).alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
