@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,9 +22,10 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase
 from tokenizers.pre_tokenizers import Split
 
-from .common import map_rows
+from .common import RELEASES, map_rows
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
+SLICE_BYTES = 1 << 19
 #: White space as the tokenizer file's patterns see it.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -70,8 +72,10 @@ class WordBpe:
         every = every_char()
         first = every[:PROBED]
         odd = [ord(min(found)) for kind, ours in ((letter, "L"), (digit, "N")) if (found := set(regex.findall(f"[{kind}]", first)) ^ set(regex.findall(rf"\p{{{ours}}}", first)))]
-        low = Lowercase().normalize_str("\n".join(every.replace("\n", ""))).split("\n")
-        self.lower = {ord(c): x for c, x in zip(every.replace("\n", ""), low) if x != c.lower()}
+        self.lower = {}
+        for k in range(0, len(every), 1 << 14):  # bit by bit, for memory
+            part = every[k : k + (1 << 14)].replace("\n", "")
+            self.lower |= {ord(c): x for c, x in zip(part, Lowercase().normalize_str("\n".join(part)).split("\n")) if x != c.lower()}
         #: Below it the regex module, Python and the library know the same letters, digits and lower case.
         self.plain = chr(min([*odd, *self.lower, PROBED]))
         self.spaces = regex.compile(f"[{SPACE}]+")
@@ -83,7 +87,8 @@ class WordBpe:
             self.made.append(vocab[a + b])
         symbols = byte_symbols()
         self.inner, self.final = [vocab[c] for c in symbols], [vocab[c + self.end] for c in symbols]
-        self.joined: dict[str, tuple[int, str, str]] = {}
+        self.ids_of: dict[str, str] = {}  # word -> decimal ids, and its tokens, joined by spaces
+        self.tokens_of: dict[str, str] = {}
 
     def split(self, text: str) -> list[str]:
         """Normalised words of a text without special strings."""
@@ -95,7 +100,7 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """Encodes words together by the pair occurrence index."""
-        sym: list[int] = []
+        sym = array("i")  # four bytes a symbol: the positions of a slice are many
         starts: list[int] = []
         order = sorted(words)
         for w in order:
@@ -105,7 +110,7 @@ class WordBpe:
             sym.append(self.final[data[-1]])
             sym.append(-1)
         n = len(sym)
-        prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
+        prev, nxt = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
         rank, made = self.rank.get, self.made
         index: dict[int, list[int]] = {}
         for i, pair in enumerate(zip(sym, sym[1:])):
@@ -164,17 +169,19 @@ class WordBpe:
 
     def prepare(self, texts: list[str | None]) -> list[list[str | int]]:
         """The texts' pieces; afterwards every word among them is in the memo."""
-        if len(self.joined) > MEMO_WORDS:
-            self.joined.clear()
+        if len(self.ids_of) > MEMO_WORDS:
+            self.ids_of.clear()
+            self.tokens_of.clear()
         out = [self.pieces(t) if t else [] for t in texts]
-        unknown = {w for ws in out for w in ws if w not in self.joined and not isinstance(w, int)}
+        unknown = {w for ws in out for w in ws if w not in self.ids_of and not isinstance(w, int)}
         for w, ids in self.learn(unknown).items():
-            self.joined[w] = len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
+            self.ids_of[w] = " ".join(map(str, ids))
+            self.tokens_of[w] = " ".join(map(self.token.__getitem__, ids))
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text; null is empty. Special strings in a text give their ids."""
-        return [[i for w in ws for i in ([w] if isinstance(w, int) else map(int, self.joined[w][1].split(" ")))] for ws in self.prepare(texts)]
+        return [[i for w in ws for i in ([w] if isinstance(w, int) else map(int, self.ids_of[w].split(" ")))] for ws in self.prepare(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space; special tokens stay; ids outside the vocabulary are left out."""
@@ -186,6 +193,9 @@ def coder(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+RELEASES[__name__] = coder.cache_clear
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ids array<int>, n_tokens, SHA-256 of the decoded text. Null and empty texts: no ids.
 
@@ -198,7 +208,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids], pa.string())], ["id", "ids", "n_tokens", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], run, f"id {kind}, ids array<int>, n_tokens long, decoded_sha256 string", 1 << 20).withColumnRenamed("id", id_col)
+    return map_rows(docs, [id_col, text_col], run, f"id {kind}, ids array<int>, n_tokens long, decoded_sha256 string", SLICE_BYTES).withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,16 +216,17 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = coder(path)
-        known, token = c.joined, c.token
+        ids_of, tokens_of, token = c.ids_of, c.tokens_of, c.token
         counts, ids_sha, text_sha = [], [], []
         for ws in c.prepare(batch.column(1).to_pylist()):
-            parts = [(1, str(w), token[w]) if isinstance(w, int) else known[w] for w in ws]
-            counts.append(sum(p[0] for p in parts))
-            ids_sha.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+            ids = " ".join([str(w) if isinstance(w, int) else ids_of[w] for w in ws])
+            text = " ".join([token[w] if isinstance(w, int) else tokens_of[w] for w in ws])
+            counts.append(ids.count(" ") + 1 if ids else 0)
+            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+            text_sha.append(hashlib.sha256(text.encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", 1 << 20).withColumnRenamed("id", id_col)
+    return map_rows(docs, [id_col, text_col], run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", SLICE_BYTES).withColumnRenamed("id", id_col)
 
 

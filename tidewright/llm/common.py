@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
@@ -22,8 +23,30 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 _fallback: list[str] = []
 
 
+#: Records in one Arrow batch to a worker: Spark counts records, not bytes, and a batch of long documents must fit.
+BATCH_RECORDS = 1000
+#: What a worker keeps for an operator between tasks, by module: how to let go of it.
+RELEASES: dict[str, Callable[[], None]] = {}
+_owner = [""]
+
+
+def take_over(owner: str) -> None:
+    """Called in a worker by the operator that runs: what other operators have kept there goes."""
+    if _owner[0] != owner:
+        for name, release in RELEASES.items():
+            if name != owner:
+                release()
+        gc.collect()
+        _owner[0] = owner
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when only the driver's sys.path holds it (a no-op once set)."""
+    """Lets Python workers import this package when only the driver's sys.path holds it, and bounds their batches.
+
+    The bound is set for the session where it still has Spark's own value.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
@@ -38,6 +61,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], p
     ship(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(fn.__module__)
         for batch in batches:
             for part in slices(batch, slice_bytes):
                 out = fn(part)
@@ -62,6 +86,7 @@ def add_columns(df: DataFrame, column: str, fn: Callable[[list], list[pa.Array]]
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(fn.__module__)
         for batch in batches:
             for part in slices(batch, slice_bytes):
                 yield pa.RecordBatch.from_arrays([*part.columns, *fn(part.column(at).to_pylist())], [*part.schema.names, *names])

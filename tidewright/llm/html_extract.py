@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import RELEASES, add_columns
 
 TRAIN_PAGES = 600
 #: Elements that never close, whose text is never shown, and that break a line of text, by the HTML standard.
@@ -347,6 +347,9 @@ def trained(n: int = TRAIN_PAGES, seed: int = 11) -> TreeModel:
     return TreeModel().fit(pages)
 
 
+RELEASES[__name__] = trained.cache_clear
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
     """One row per page: id, the columns of ``also``, text, n_chars (code points).
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship, written
+from .common import map_rows, ship, take_over, written
 from .components import components
 
 WORDS = 4
@@ -90,6 +90,7 @@ def token_sketch(sets: DataFrame) -> np.ndarray:
     cells = (1 << SKETCH_BITS) // SKETCH_SLICES
 
     def count(batches):
+        take_over(__name__)
         total = np.zeros(1 << SKETCH_BITS, np.int32)
         part = 0
         for batch in batches:
@@ -138,6 +139,7 @@ def rare_tokens(sets: DataFrame, sketch: np.ndarray, percent: int = PERCENT) ->
     ship(sets.sparkSession)
 
     def each(batches):
+        take_over(__name__)
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 yield run(b.slice(i, 1000))

@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import RELEASES, map_rows
 
 MARK = "▁"
 MEMO_WORDS = 300_000
@@ -217,6 +217,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+RELEASES[__name__] = counter.cache_clear
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit, cut_chars (characters of the longest prefix of at most ``limit`` tokens).
 
