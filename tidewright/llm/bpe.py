@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,8 +23,8 @@ from tokenizers.pre_tokenizers import Split
 
 from .common import RELEASES, map_rows
 
-MEMO_WORDS = 200_000
-SLICE_BYTES = 1 << 19
+MEMO_WORDS = 300_000
+SLICE_BYTES = 1 << 20
 #: White space as the tokenizer file's patterns see it.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -100,7 +99,7 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """Encodes words together by the pair occurrence index."""
-        sym = array("i")  # four bytes a symbol: the positions of a slice are many
+        sym: list[int] = []
         starts: list[int] = []
         order = sorted(words)
         for w in order:
@@ -110,7 +109,7 @@ class WordBpe:
             sym.append(self.final[data[-1]])
             sym.append(-1)
         n = len(sym)
-        prev, nxt = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+        prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
         rank, made = self.rank.get, self.made
         index: dict[int, list[int]] = {}
         for i, pair in enumerate(zip(sym, sym[1:])):
