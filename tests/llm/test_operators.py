@@ -321,6 +321,22 @@ def test_repeated_spans(spark, odd, empty):
     assert substring_dedup.repeated_spans(odd).count() == 0 and substring_dedup.repeated_spans(empty).count() == 0
 
 
+def test_one_copy_of_a_repeat_stays(spark):
+    r = random.Random(20)
+    made = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(n))
+    passage, stock = made(90), made(60)
+    texts = {1: f"{made(70)} {stock} {made(70)}", 5: f"{made(40)} {passage} {stock} {made(30)}", 6: f"{made(50)} {passage} {stock} {made(20)}", 7: f"{stock} {passage} {made(60)}"}
+    out = substring_dedup.repeated_spans(frame(spark, list(texts.items()))).collect()
+    left = dict(texts)
+    for x in sorted(out, key=lambda x: -x["start_char"]):
+        if not x["is_first"]:
+            t = left[x["doc_id"]]
+            left[x["doc_id"]] = t[: x["start_char"]] + t[x["end_char"] :]
+    for whole in (passage, stock):
+        inner = " ".join(whole.split()[20:-20])  # what lies in whole chunks
+        assert [i for i, t in left.items() if inner in t] == [min(i for i, t in texts.items() if inner in t)]
+
+
 # --- 6: Jaccard
 
 

@@ -2,7 +2,8 @@
 
 A gear hash rolls over a text's bytes; a chunk ends where its top bits are zero, so the cuts follow the content and an
 insertion only moves the cuts near it. Chunks are deduplicated by digest: a digest that occurs in several documents
-marks a repeat, its first document keeps it. Neighbouring repeated chunks of a document join to one span.
+marks a repeat, its first document keeps it. Neighbouring repeated chunks of a document that have the same first
+document join to one span.
 """
 
 from __future__ import annotations
@@ -99,8 +100,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each span of repeated chunks: id, start_char, end_char, n_chunks, n_words, first_id, is_first.
 
-    A chunk is repeated if its digest occurs in two documents or more; ``first_id`` is the least document with one of
-    the span's chunks, and ``is_first`` marks the span that a deduplication keeps. Documents without such a span give
+    A chunk is repeated if its digest occurs in two documents or more. A run of neighbouring repeated chunks counts if
+    it holds ``least_words``; it is given as one span for each stretch of chunks with the same first document, which is
+    ``first_id``. ``is_first`` marks the span that a deduplication keeps. Documents without such a run give
     no row; neither do null or empty texts, nor rows with a null id. Rows that share an id count as one document.
     Extra columns are not read.
     """
@@ -111,8 +113,12 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     start, stop = F.shiftright("at", 16), F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255)
     marked = marked.select("id", start.alias("start"), stop.alias("stop"), F.col("at").bitwiseAND(255).alias("words"), "first")
     in_order = Window.partitionBy("id").orderBy("start", "stop", "first")
-    begins = F.when(F.col("start") <= F.lag("stop").over(in_order), 0).otherwise(1)
-    spans = marked.withColumn("begins", begins).withColumn("run", F.sum("begins").over(in_order)).groupBy("id", "run")
+    apart = ~(F.col("start") <= F.lag("stop").over(in_order))
+    begins = F.when(apart | F.lag("stop").over(in_order).isNull(), 1).otherwise(0)
+    turns = F.when((F.col("begins") == 1) | (F.col("first") != F.lag("first").over(in_order)), 1).otherwise(0)
+    spans = marked.withColumn("begins", begins).withColumn("turns", turns)
+    spans = spans.withColumn("run", F.sum("begins").over(in_order)).withColumn("part", F.sum("turns").over(in_order)).groupBy("id", "run", "part")
     spans = spans.agg(F.min("start").alias("start_char"), F.max("stop").alias("end_char"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.min("first").alias("first_id"))
-    spans = spans.where(F.col("n_words") >= least_words).withColumn("is_first", F.col("first_id") == F.col("id"))
+    spans = spans.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("id", "run")))
+    spans = spans.where(F.col("run_words") >= least_words).withColumn("is_first", F.col("first_id") == F.col("id"))
     return spans.select(F.col("id").alias(id_col), "start_char", "end_char", "n_chunks", "n_words", F.col("first_id"), "is_first")
