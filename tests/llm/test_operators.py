@@ -430,6 +430,45 @@ def test_decontamination(spark, odd, empty):
         decontaminate.BROADCAST_SEEDS = wide
 
 
+def test_masks_fit_every_placement():
+    import itertools
+
+    for width in range(decontaminate.LEAST, decontaminate.WINDOW + 1):
+        masks = decontaminate.MASKS if width == decontaminate.WINDOW else decontaminate.EDGE_MASKS
+        differ = width - -(-width * decontaminate.SHARE // 100)
+        for out in itertools.combinations(range(width), differ):
+            assert any(all(p + o not in out for o, c in enumerate(m) if c == "1") for m in masks for p in range(width - len(m) + 1)), (width, out)
+
+
+def test_irregular_substitutions(spark):
+    r = random.Random(21)
+    made = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9))) for _ in range(n))
+    swap = lambda words, out: " ".join("swapped" if i in out else w for i, w in enumerate(words))
+    items = [(k, made(13)) for k in range(40)] + [(100, made(20)), (101, made(9)), (102, made(20))]
+    item = {k: t.split() for k, t in items}
+    texts = [(k, f"{made(20)} {swap(item[k], r.sample(range(13), 3))} {made(20)}") for k in range(40)]
+    texts += [(100, f"{swap(item[100][-9:], (3, 6))} {made(30)}"), (101, f"{made(20)} {swap(item[101], (3, 6))} {made(20)}"), (102, f"{made(20)} {swap(item[102], (2, 3, 9, 15, 16))} {made(20)}")]
+    texts += [(200 + k, f"{made(20)} {swap(item[k], r.sample(range(13), 4))} {made(20)}") for k in range(40)]  # 9 of 13: too few
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["n_matched"], x["n_window"], x["at_word"]) for x in decontaminate.overlaps(frame(spark, texts), bench).collect()}
+    want = set()
+    for i, t in texts:  # every diagonal and window, without seeds
+        d = t.split()
+        for k, b in item.items():
+            best = []
+            for shift in range(1 - len(b), len(d)):
+                lo, hi = max(0, shift), min(len(d), shift + len(b))
+                width = min(13, hi - lo)
+                for s in range(lo, hi - width + 1) if width >= 8 else ():
+                    n = sum(d[j] == b[j - shift] for j in range(s, s + width))
+                    if n * 100 >= 70 * width:
+                        best.append((n, width, -s))
+            if best:
+                n, width, s = max(best)
+                want.add((i, k, n, width, -s))
+    assert got == want and {i for i, *_ in want} == {*range(40), 100, 101, 102}
+
+
 def test_decontamination_is_native(spark):
     docs = frame(spark, [(1, "a b c")])
     plan = decontaminate.overlaps(docs, spark.createDataFrame([(1, "x")], "item_id long, text string"))._jdf.queryExecution().toString()
