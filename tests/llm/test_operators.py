@@ -224,6 +224,12 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_text_of_math_object_and_canvas():
+    body = "<p>" + "plain words of the story go on here. " * 4 + "so <math><mi>x</mi></math> holds <object data='a'>in <b>place</b></object> of <canvas>a drawing</canvas> here</p>"
+    text = html_extract.main_text(f"<html><body><article><h1>Title of it</h1>{body}</article></body></html>", html_extract.trained())
+    assert text.endswith("so x holds in place of a drawing here")
+
+
 def test_page_model():
     model, r, missed, wrong, total = html_extract.trained(), random.Random(77), 0, 0, 0
     for _ in range(100):

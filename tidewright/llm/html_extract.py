@@ -23,7 +23,7 @@ from .common import RELEASES, add_columns
 TRAIN_PAGES = 600
 #: Elements that never close, whose text is never shown, and that break a line of text, by the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "object", "canvas", "math")
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title")
 BLOCK = set("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button label option".split())
 #: A start tag closes these open elements, up to the nearest of the limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -126,7 +126,7 @@ class Page:
             if tag in RAW:
                 lower = lower if lower is not None else source.lower()
                 stop = lower.find(f"</{tag}", at)
-                if tag in ("svg", "math", "object", "title", "canvas") and stop < 0 or (m[3] or "").endswith("/"):
+                if tag in ("svg", "title") and stop < 0 or (m[3] or "").endswith("/"):
                     continue
                 at = end if stop < 0 else (lower.find(">", stop) + 1 or end)
                 continue
