@@ -494,7 +494,7 @@ def test_slices(spark):
 
 
 def test_written_uses_the_shared_folder(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "_paths", [])
+    monkeypatch.setattr(common, "_paths", {})
     monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
     out = common.written(spark.range(5), "t")
     assert any(tmp_path.rglob("*.parquet")) and out.count() == 5

@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,8 +24,8 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 _fallback: list[str] = []
 
 
-#: Records in one Arrow batch to a worker: Spark counts records, not bytes, and a batch of long documents must fit.
-BATCH_RECORDS = 1000
+#: Bytes of one Arrow batch to a worker: the whole batch lies in the executor and the worker before it is sliced.
+BATCH_BYTES = 4 << 20
 #: What a worker keeps for an operator between tasks, by module: how to let go of it.
 RELEASES: dict[str, Callable[[], None]] = {}
 _owner = [""]
@@ -41,12 +42,14 @@ def take_over(owner: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when only the driver's sys.path holds it, and bounds their batches.
+    """Lets Python workers import this package when only the driver's sys.path holds it, and bounds their batches by bytes.
 
-    The bound is set for the session where it still has Spark's own value.
+    The bound is set for the session, and only lowered: a frame is run after its operator has returned, so it can't be
+    put back here. It changes no result.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
@@ -56,7 +59,7 @@ def ship(spark: SparkSession) -> None:
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Applies ``fn`` to slices of about ``slice_bytes`` of ``columns``; one row is the least a slice can hold.
 
-    Memory in a worker is bounded by the slice, however many rows a Spark batch has.
+    A worker holds one Arrow batch (BATCH_BYTES, or one row that is longer) and what ``fn`` makes of a slice.
     """
     ship(df.sparkSession)
 
@@ -112,14 +115,14 @@ def slices(batch: pa.RecordBatch, slice_bytes: int = SLICE_BYTES) -> Iterator[pa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, local sessions), one of this process's own."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets one of its own; a cluster is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="tidewright-"))
-        import shutil
-
         atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
     return "file://" + _fallback[0]
 
@@ -129,26 +132,58 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The files outlive any executor. They go when the process ends or ``drop_written`` is called.
     """
+    return _write(df, name)[0]
+
+
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _paths.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _paths[path] = spark
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+_paths: dict[str, SparkSession] = {}
+
+
+class Scratch:
+    """The written tables of one run of an operator, so that each can go as soon as its last reader is written."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, self.paths[name] = _write(df, name)
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Deletes these tables. Shuffle files of ended jobs go with the driver's garbage, so that is collected too."""
+        paths = [self.paths.pop(n) for n in names]
+        spark = _paths[paths[0]]
+        for path in paths:
+            _delete(path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def _delete(path: str) -> None:
+    spark = _paths.pop(path)
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:  # else the session has ended; its folder is gone or is cleaned by the cluster
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_paths: list[tuple[SparkSession, str]] = []
+def written_tables() -> list[str]:
+    """The paths of the tables that ``written`` has left, oldest first."""
+    return list(_paths)
 
 
-def drop_written(keep: int = 0) -> None:
-    """Deletes the tables of ``written``, the newest ``keep`` excepted."""
-    while len(_paths) > keep:
-        spark, path = _paths.pop(0)
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; its folder is gone or is cleaned by the cluster
-            continue
+def drop_written(keep: int = 0, before: list[str] | None = None) -> None:
+    """Deletes the tables of ``written``, the newest ``keep`` and those in ``before`` excepted."""
+    paths = [p for p in _paths if p not in (before or ())]
+    for path in paths[: len(paths) - keep]:
+        _delete(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
