@@ -511,3 +511,35 @@ def test_shared_folder_is_the_clusters(spark, monkeypatch):
         conf = Conf()
 
     assert common.shared_folder(Session()) == "hdfs://store/shared"
+
+
+def test_decontamination_of_one_repeated_word(spark):
+    """Every position hits every position of the item; a diagonal still counts once."""
+    bench = spark.createDataFrame([(1, "tick " * 60), (2, "tock " * 9), (None, "null items count as any other item does here")], "item_id long, text string")
+    docs = frame(spark, [(1, "tick " * 20_000), (2, "tack " * 20_000), (3, "a b tock " + "tock " * 8), (None, "so null items count as any other item does here too")])
+    got = {(x["doc_id"], x["item_id"], x["n_matched"], x["n_window"], x["at_word"]) for x in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(1, 1, 13, 13, 0), (3, 2, 9, 9, 2), (None, None, 9, 9, 1)}
+    assert {x["doc_id"] for x in decontaminate.clean(docs, bench).collect()} == {2, None}
+
+
+def test_rows_with_one_id_are_one_document(spark):
+    r = random.Random(23)
+    a, b, c = prose(r, 90), prose(r, 90), prose(r, 90)
+    docs = frame(spark, [(3, b), (7, a), (7, b), (9, a + " end"), (11, c), (12, c), (11, "")])
+    out = {(x["doc_id"], x["component_id"]) for x in jaccard_join.link_components(docs).collect()}
+    assert out == {(3, 3), (7, 3), (9, 3), (11, 11), (12, 11)}
+    assert sorted(x["doc_id"] for x in jaccard_join.keep_one(docs).collect()) == [3, 11]
+
+
+def test_sketches_are_summed_in_a_tree(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(24)
+    docs = frame(spark, [(i, prose(r, 30) + " the one passage that all of them share") for i in range(40)]).repartition(9)
+    sketches = jaccard_join.shingle_sets(docs).where("slice is not null")
+    plain = jaccard_join.token_levels(sketches)
+    monkeypatch.setattr(jaccard_join, "SKETCH_FAN", 2)
+    assert (jaccard_join.token_levels(sketches) == plain).all()
+    flat, _ = jaccard_join.shingle_lists([x["text"].encode() for x in docs.collect()])
+    want = np.bincount(jaccard_join._cell(flat), minlength=len(plain))
+    assert (plain == np.minimum(255, np.log2(want + 1.0) * 6).astype(np.uint8)).all() and want.max() >= 40

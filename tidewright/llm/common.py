@@ -15,6 +15,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A word: what lies between ASCII white space.
@@ -114,6 +115,21 @@ def slices(batch: pa.RecordBatch, slice_bytes: int = SLICE_BYTES) -> Iterator[pa
     yield batch.slice(start, n - start)
 
 
+#: Cells of ids that are broadcast, at most so many rows.
+CELLS = 1 << 18
+
+
+def may_hold(rows: DataFrame, ids: DataFrame, id_col: str, wanted: bool = True) -> DataFrame:
+    """The rows whose id falls into a cell of ``ids`` (or, if not wanted, the others): all columns, no shuffle of rows.
+
+    Spares a join by id the other rows while ids are few; where they fill all cells, it spares nothing and loses nothing.
+    """
+    name = free_name(rows, "_cell")
+    cells = ids.select(F.pmod(F.xxhash64(id_col), F.lit(CELLS)).alias(name)).distinct()
+    marked = rows.withColumn(name, F.pmod(F.xxhash64(id_col), F.lit(CELLS)))
+    return marked.join(F.broadcast(cells), name, "left_semi" if wanted else "left_anti").drop(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a local session gets one of its own; a cluster is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows, ship, slices, take_over
+from .common import Scratch, map_rows, may_hold, ship, slices, take_over
 from .components import components
 
 WORDS = 4
@@ -37,7 +37,6 @@ SKETCH_BITS, SKETCH_SLICES = 22, 128
 SKETCH_FAN = 64
 #: Two linked sets share s // SHARED_PART + 1 of their rarest tokens, s the smaller size, as many more are taken than one would need.
 SHARED_PART = 25
-CELLS = 1 << 18
 SLICE_BYTES = 2 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BOUNDS = (np.arange(BANDS * BAND_ROWS, dtype=np.float64) * (2.0**64 / (BANDS * BAND_ROWS))).astype(np.uint64)
@@ -209,18 +208,12 @@ def token_lists(docs: DataFrame, sets: DataFrame, k: int = WORDS, id_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = _only(texts, sets).join(sets.select("id").distinct(), "id", "left_semi")
+    texts = may_hold(texts, sets, "id").join(sets.select("id").distinct(), "id", "left_semi")
     lists = map_rows(texts, ["id", "text"], run, f"id {kind}, digest binary, n int, tokens binary", SLICE_BYTES)
     lists = lists.groupBy("id", "digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))  # rows may repeat
     return lists.join(sets.select("id", "digest"), ["id", "digest"], "left_semi").drop("digest")
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id falls into a cell of ``ids``: spares a join the others while ids are few. Broadcasts at most CELLS rows."""
-    cell = F.pmod(F.xxhash64("id"), F.lit(CELLS)).alias("cell")
-    return rows.withColumn("cell", cell).join(F.broadcast(ids.select(cell).distinct()), "cell", "left_semi").drop("cell")
-
-
 def link_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id reachable by links, itself included).
 
@@ -368,9 +361,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, id_col: st
     t = Scratch()
     gone = t.write(linked.where("component_id <> id").select("id").distinct(), "gone")
     twice = linked.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    cell = F.pmod(F.xxhash64("id"), F.lit(CELLS)).alias("cell")
-    cells = t.write(gone.unionByName(twice).select(cell).distinct(), "cells")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id")).withColumn("cell", cell)
-    alone = rows.where("id is null").unionByName(rows.where("id is not null").join(F.broadcast(cells), "cell", "left_anti"))
-    touched = rows.where("id is not null").join(F.broadcast(cells), "cell", "left_semi").join(gone, "id", "left_anti").dropDuplicates(["id"])
-    return alone.unionByName(touched.select(*alone.columns)).select("row.*")
+    some = t.write(gone.unionByName(twice), "some")
+    named = docs.where(F.col(id_col).isNotNull())
+    touched = may_hold(named, some.select(F.col("id").alias(id_col)), id_col).join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col])
+    alone = may_hold(named, some.select(F.col("id").alias(id_col)), id_col, False)
+    return docs.where(F.col(id_col).isNull()).unionByName(alone).unionByName(touched)

@@ -69,22 +69,18 @@ l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p
 r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON r.m = l.a)
 SELECT doc_id, n.n AS n_shingles, (SELECT min(m) FROM r WHERE r.d = n.doc_id) AS component_id FROM n
 """
-#: Seeds as the kept words themselves, joined; then the best window on each hit's diagonal.
+#: Every diagonal with six equal words or more, without seeds; then its best window.
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id AS id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS t FROM documents),
 b AS (SELECT item_id AS id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS t FROM benchmark),
-k AS (SELECT * FROM (VALUES (0, 8, [0, 1, 2, 3, 4, 5, 6, 7]), (1, 9, [0, 1, 2, 3, 5, 6, 7, 8]), (2, 10, [0, 1, 2, 4, 5, 6, 8, 9]), (3, 11, [0, 1, 3, 4, 6, 7, 9, 10])) v(mask, span, kept)),
-dp AS (SELECT id, t, unnest(range(0, len(t) - 7)) AS i FROM d WHERE len(t) >= 8),
-bp AS (SELECT id, t, unnest(range(0, len(t) - 7)) AS i FROM b WHERE len(t) >= 8),
-ds AS (SELECT id, i, mask, span, array_to_string(list_transform(kept, lambda o: t[i + o + 1]), ' ') AS seed FROM dp, k WHERE i + span <= len(t)),
-bs AS (SELECT id, i, mask, array_to_string(list_transform(kept, lambda o: t[i + o + 1]), ' ') AS seed FROM bp, k WHERE i + span <= len(t)),
-h AS (SELECT DISTINCT ds.id AS doc, bs.id AS item, ds.i AS i, ds.i - bs.i AS shift, ds.span FROM ds JOIN bs ON ds.seed = bs.seed AND ds.mask = bs.mask),
-a AS (SELECT h.*, d.t AS dt, b.t AS bt, greatest(0, shift) AS lo, least(len(d.t), shift + len(b.t)) AS hi FROM h JOIN d ON d.id = doc JOIN b ON b.id = item),
-w AS (SELECT *, least(13, hi - lo) AS width FROM a),
-x AS (SELECT doc, item, shift, width, dt, bt, unnest(range(greatest(i + span - width, lo), least(i, hi - width) + 1)) AS st FROM w),
-m AS (SELECT doc, item, width, st, len(list_filter(range(0, width), lambda j: dt[st + j + 1] = bt[st - shift + j + 1])) AS n FROM x),
-g AS (SELECT doc, item, max({'n': n, 'w': width, 's': -st}) AS best FROM m WHERE n * 100 >= width * 70 GROUP BY 1, 2)
-SELECT doc AS doc_id, item AS item_id, CAST(best.n AS INTEGER) AS n_matched, CAST(best.w AS INTEGER) AS n_window, CAST(-best.s AS INTEGER) AS at_word FROM g
+dp AS (SELECT id, len(t) AS n, unnest(range(0, len(t))) AS i, unnest(t) AS w FROM d),
+bp AS (SELECT id, len(t) AS n, unnest(range(0, len(t))) AS i, unnest(t) AS w FROM b),
+g AS (SELECT dp.id AS doc, bp.id AS item, dp.i - bp.i AS shift, greatest(0, dp.i - bp.i) AS lo, least(dp.n, dp.i - bp.i + bp.n) AS hi, list(dp.i) AS equal FROM dp JOIN bp ON dp.w = bp.w GROUP BY ALL HAVING count(*) >= 6),
+v AS (SELECT *, least(13, hi - lo) AS width FROM g WHERE hi - lo >= 8),
+s AS (SELECT doc, item, width, equal, unnest(range(lo, hi - width + 1)) AS st FROM v),
+m AS (SELECT doc, item, width, st, len(list_filter(equal, lambda p: p >= st AND p < st + width)) AS n FROM s),
+x AS (SELECT doc, item, max({'n': n, 'w': width, 's': -st}) AS best FROM m WHERE n * 100 >= width * 70 GROUP BY 1, 2)
+SELECT doc AS doc_id, item AS item_id, CAST(best.n AS INTEGER) AS n_matched, CAST(best.w AS INTEGER) AS n_window, CAST(-best.s AS INTEGER) AS at_word FROM x
 """
 
 
