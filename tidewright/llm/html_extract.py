@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RELEASES, add_columns
+from .common import add_columns
 
 TRAIN_PAGES = 600
+#: Weights of a node's own features that the fit chooses from.
+SCALES = (0.1, 0.25, 0.5, 0.75, 1.0)
 #: Elements that never close, whose text is never shown, and that break a line of text, by the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title")
@@ -28,8 +30,11 @@ BLOCK = set("html body address article aside blockquote center dd details dialog
 #: A start tag closes these open elements, up to the nearest of the limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 P_CLOSERS = BLOCK - {"html", "body", "button", "label", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: One attribute by the HTML standard: white space and slashes, a name, a value in quotes or up to white space; group 3
+#: is a quote that never ends.
+ATTR = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(["'])|([^\s>]*)))?""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 #: Words in class, id, role or aria-label that name page furniture, by group.
 FURNITURE = {
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs",
@@ -45,7 +50,9 @@ FURNITURE = {
 }
 GROUP = {w: g for g, ws in FURNITURE.items() for w in ws.split()}
 TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "button": "form", "label": "form", "option": "form", "dialog": "dialog", "menu": "nav", "article": "article", "main": "main", "section": "section", "div": "div", "p": "p", "li": "li", "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "table": "table", "tbody": "table", "thead": "table", "tfoot": "table", "tr": "table", "td": "cell", "th": "cell", "body": "root", "html": "root", "blockquote": "quote", "pre": "quote", "figure": "figure", "figcaption": "figure", "address": "address"} | {f"h{i}": "heading" for i in range(1, 7)}
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+#: Words beside which a furniture word still names furniture; beside any other word it is part of a title or a topic.
+NEUTRAL = set("wrap wrapper box block list item items container inner outer area section widget group row col column left right top main site page global primary secondary js c u m l o is has sticky fixed small large".split())
+_SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
@@ -53,31 +60,36 @@ class Page:
     """Block nodes of a page (parent, tag, features) and its text blocks in order (node, text)."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.groups, self.hidden = [-1], ["html"], [frozenset()], [False]
+        self.parent, self.tag, self.groups, self.hidden, self.within = [-1], ["html"], [frozenset()], [False], [False]
         self.blocks: list[tuple[int, str]] = []
         self.words, self.linked = [0], [0]
         self._read(source)
 
-    def _node(self, parent: int, tag: str, attrs: str) -> int:
+    def _node(self, parent: int, tag: str, attrs: list[tuple[str, str]]) -> int:
         named, hidden = set(), self.hidden[parent]
-        if attrs:
-            for m in ATTR.finditer(attrs):
-                k, v = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-                if k in ("class", "id", "role", "aria-label"):
-                    named |= {g for w in _SPLIT.split(v) if (g := GROUP.get(w))}
-                hidden |= k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.sub(r"\s", "", v).find("display:none") >= 0
+        for k, v in attrs:
+            if k in ("class", "id", "role", "aria-label"):
+                for name in v.lower().split():
+                    words = [w for w in _SPLIT.split(name) if w]
+                    if all(w in GROUP or w in NEUTRAL or w.isdigit() for w in words):
+                        named |= {g for w in words if (g := GROUP.get(w))}
+            hidden |= k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k == "style" and "display:none" in _SPACE.sub("", v.lower())
         self.parent.append(parent)
         self.tag.append(tag)
         self.groups.append(frozenset(named))
         self.hidden.append(hidden)
+        self.within.append(self.within[parent] or self.tag[parent] in ("article", "main"))
         self.words.append(0)
         self.linked.append(0)
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
+        """One pass in linear time, with the standard's tokenizer; open elements are kept by tag, so no end tag searches the stack."""
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block node each stands in
+        where: dict[str, list[int]] = {"html": [0]}  # places in the stack, by tag
+        blocks = [0]  # places of the block elements
         text: list[str] = []
-        links, at, end, lower = 0, 0, len(source), None
+        at, end, endless = 0, len(source), set()
 
         def flush() -> None:
             if text:
@@ -87,78 +99,94 @@ class Page:
                     self.blocks.append((stack[-1][1], block))
 
         def close(k: int) -> None:
-            nonlocal links
-            if any(t in BLOCK for t, _ in stack[k:]):
+            if blocks[-1] >= k:
                 flush()
-            links -= sum(t == "a" for t, _ in stack[k:])
-            del stack[k:]
+            while len(stack) > k:
+                where[stack.pop()[0]].pop()
+            while blocks[-1] >= k:
+                blocks.pop()
+
+        def open_(tag: str, node: int) -> None:
+            where.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append((tag, node))
+
+        def last(*tags: str) -> int:
+            return max((where[t][-1] for t in tags if where.get(t)), default=-1)
 
         def add(piece: str) -> None:
             n = len(piece.split())
             node = stack[-1][1]
             self.words[node] += n
-            if links:
+            if where.get("a"):
                 self.linked[node] += n
             text.append(piece)
 
         while at < end:
-            m = TOKEN.search(source, at)
-            if not m:
+            less = source.find("<", at)
+            if less < 0:
                 add(source[at:])
                 break
-            if m.start() > at:
-                add(source[at : m.start()])
-            at = m.end()
-            if not m[2]:
+            if less > at:
+                add(source[at:less])
+            closing = source.startswith("/", less + 1)
+            named = NAME.match(source, less + 1 + closing)
+            if not named:
+                if source.startswith("<!--", less):
+                    empty = source.startswith((">", "->"), less + 4)
+                    stop = source.find(">" if empty else "-->", less + 4)
+                    at = end if stop < 0 else stop + (1 if empty else 3)
+                elif source.startswith(("<!", "<?", "</"), less):
+                    at = source.find(">", less) + 1 or end
+                else:
+                    add("<")
+                    at = less + 1
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            at, attrs = named.end(), []
+            while m := ATTR.match(source, at):
+                at = end if m[4] else m.end()
+                if not closing and m[1]:
+                    attrs.append((m[1].lower(), m[2] or m[3] or m[5] or ""))
+            slash = source[at - 1 : at] == "/"
+            while at < end and source[at] != ">":
+                slash = source[at] == "/"
+                at += 1
+            if at >= end:
+                break  # the page ends within a tag, which the standard drops
+            at += 1
+            tag = named[0].lower()
+            if closing:
                 if tag == "br":
                     text.append(" ")
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if tag not in BLOCK and stack[k][0] in BLOCK and tag != "a":
-                        break  # an inline end tag reaches no further than its block
+                elif tag != "html" and (k := last(tag)) > 0 and (tag in BLOCK or tag == "a" or k > blocks[-1]):
+                    close(k)  # an inline end tag reaches no further than its block
                 continue
             if tag in RAW:
-                lower = lower if lower is not None else source.lower()
-                stop = lower.find(f"</{tag}", at)
-                if tag in ("svg", "title") and stop < 0 or (m[3] or "").endswith("/"):
+                if tag == "svg" and slash or tag in endless:
                     continue
-                at = end if stop < 0 else (lower.find(">", stop) + 1 or end)
+                stop = RAW_END[tag].search(source, at)
+                if stop:
+                    at = source.find(">", stop.end()) + 1 or end
+                elif tag in ("svg", "title"):
+                    endless.add(tag)
+                else:
+                    at = end
                 continue
             if tag in VOID:
                 text.append(" " if tag == "br" else "")
                 if tag == "hr":
                     flush()
                 continue
-            if tag in P_CLOSERS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-            if tag in CLOSES:
-                closed, limits = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in limits:
-                        break
-                    if stack[k][0] in closed:
-                        close(k)
-                        break
+            if tag in P_CLOSERS and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
+            if tag in CLOSES and (k := last(*CLOSES[tag][0])) > last(*CLOSES[tag][1]):
+                close(k)
             if tag in BLOCK:
                 flush()
-                node = 0 if tag == "html" else self._node(stack[-1][1], tag, m[3])
-                stack.append((tag, node))
-            elif tag == "head":
-                continue
-            else:
-                links += tag == "a"
-                stack.append((tag, stack[-1][1]))
+                open_(tag, 0 if tag == "html" else self._node(stack[-1][1], tag, attrs))
+            elif tag != "head":
+                open_(tag, stack[-1][1])
         flush()
 
     def features(self) -> list[tuple[str, ...]]:
@@ -174,7 +202,10 @@ class Page:
             share = linked[i] / below[i] if below[i] else 0.0
             size = min(5, int(math.log2(below[i] + 1) / 1.5))
             furniture = self.groups[i] - {"main"}
-            f = [f"tag={TAGS.get(self.tag[i], 'other')}", f"size={size}", f"link={0 if share < 0.05 else 1 if share < 0.4 else 2}", f"names={'furniture' if furniture else 'main' if self.groups[i] else 'none'}"]
+            kind = TAGS.get(self.tag[i], "other")
+            if kind == "header" and self.within[i]:
+                kind = "article-header"
+            f = [f"tag={kind}", f"size={size}", f"link={0 if share < 0.05 else 1 if share < 0.4 else 2}", f"names={'both' if furniture != self.groups[i] and furniture else 'furniture' if furniture else 'main' if self.groups[i] else 'none'}"]
             if self.hidden[i]:
                 f.append("hidden")
             out.append(tuple(f))
@@ -188,8 +219,23 @@ class TreeModel:
         self.node: dict[str, float] = {}
         self.edge: dict[str, tuple[tuple[float, float], tuple[float, float]]] = {}
         self.prior = 0.5
+        self.scale = 1.0
 
     def fit(self, pages: list[tuple[Page, list[int]]]) -> TreeModel:
+        """Potentials from three quarters of the pages; the rest says how much a node's own features weigh beside its edges.
+
+        Features of a node depend on one another, so their product claims too much: of SCALES the one is taken under which
+        the marginals give the labels of the held-out pages the highest likelihood. Then all pages are counted.
+        """
+        held = pages[::4]
+        self._count([p for i, p in enumerate(pages) if i % 4])
+        likely = {}
+        for self.scale in SCALES:
+            likely[self.scale] = sum(math.log(max(1e-9, p if x else 1 - p)) for page, labels in held for p, x in zip(self.marginals(page), labels))
+        self.scale = max(SCALES, key=likely.get)
+        return self._count(pages)
+
+    def _count(self, pages: list[tuple[Page, list[int]]]) -> TreeModel:
         """Counts of features by label, and of child labels by parent label and the child's kind; labels: one per node."""
         seen: dict[str, list[float]] = {}
         pairs: dict[str, list[list[float]]] = {}
@@ -221,7 +267,7 @@ class TreeModel:
         feats, n = page.features(), len(page.tag)
         own = []
         for f in feats:
-            s = sum(self.node.get(x, 0.0) for x in f) * 0.5
+            s = sum(self.node.get(x, 0.0) for x in f) * self.scale
             own.append((1 / (1 + math.exp(min(s, 50))), 1 / (1 + math.exp(-max(s, -50)))))
         edge = [self.edge.get(self._kind(f), self.edge[""]) for f in feats]
         up = [(1.0, 1.0)] * n  # the message of a node to its parent
@@ -293,8 +339,9 @@ def labelled_page(r: random.Random) -> str:
             "form": lambda: f"<form{r.choice(['', attr('form')])}><label>{words(2, 'x')}</label><input name='q'><p>{words(6, 'x')}</p><button>{words(1, 'x')}</button></form>",
         }[kind]()
 
-    def body() -> str:
-        out = [f"<h1>{words(r.randint(3, 9), 'c')}</h1>"] if r.random() < 0.8 else []
+    def body(headed: bool) -> str:
+        title = f"<h1>{words(r.randint(3, 9), 'c')}</h1>"
+        out = [r.choice([title, title, f"<header>{title}</header>", f"<header>{title}<p>{words(12, 'c')}</p></header>"][: 4 if headed else 2])] if r.random() < 0.8 else []
         for _ in range(r.randint(1, 12)):
             k = r.random()
             n = r.choice([1, 4, 12, 30, 80, 200])
@@ -314,7 +361,7 @@ def labelled_page(r: random.Random) -> str:
             elif k < 0.92:
                 out.append(f"<figure><img src=x><figcaption>{words(5, 'c')}</figcaption></figure>")
             elif k < 0.95:
-                out.append(f"<div>{words(n, 'c')}</div>")
+                out.append(r.choice([f"<div>{words(n, 'c')}</div>", f'<div class="{named("main")} {named(r.choice(list(FURNITURE)))}">{words(n, "c")}</div>', f'<section id="{named(r.choice(list(FURNITURE)))}-{r.choice(["loops", "policy", "history", "design", "science"])}"><h2>{words(4, "c")}</h2><p>{words(n, "c")}</p></section>']))
             else:
                 out.append(furniture(r.choice(["ad", "share", "notice", "side", "form"])))
         return "".join(out)
@@ -322,7 +369,7 @@ def labelled_page(r: random.Random) -> str:
     before = "".join(furniture(r.choice(["nav", "head", "ad", "notice", "form"])) for _ in range(r.randint(0, 4)))
     after = "".join(furniture(r.choice(["side", "ad", "share", "talk", "foot", "form", "notice"])) for _ in range(r.randint(0, 4)))
     core = r.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="{}">{}</div>', '<div id="{}">{}</div>', "<div>{}</div>", "<section>{}</section>"])
-    core = core.format(*([named("main")] if core.count("{}") == 2 else []), body())
+    core = core.format(*([r.choice([named("main"), named("main"), f"{named('main')} {named(r.choice(list(FURNITURE)))}"])] if core.count("{}") == 2 else []), body("<article>" in core or "<main>" in core))
     wrap = r.choice(["{}", "<div>{}</div>", '<div id="wrapper"><div class="container">{}</div></div>'])
     foot = furniture("foot") if r.random() < 0.8 else ""
     return f"<!DOCTYPE html><html><head><title>{words(3, 'x')}</title><style>p{{margin:0}}</style></head><body>{wrap.format(before + core + after)}{foot}</body></html>"
@@ -347,17 +394,15 @@ def trained(n: int = TRAIN_PAGES, seed: int = 11) -> TreeModel:
     return TreeModel().fit(pages)
 
 
-RELEASES[__name__] = trained.cache_clear
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
     """One row per page: id, the columns of ``also``, text, n_chars (code points).
 
-    Null and empty pages give an empty text; repeated rows give a row each; other columns are not read.
+    Null and empty pages give an empty text; repeated rows give a row each; other columns are not read. An empty table
+    gives an empty result. The model is fitted once, on the driver.
     """
+    model = trained()
 
     def run(sources: list[str | None]) -> list[pa.Array]:
-        model = trained()
         texts = [main_text(t, model) for t in sources]
         return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
