@@ -4,6 +4,8 @@ import datetime as dt
 import json
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,7 +106,7 @@ def test_rules(spark):
     assert got == {None: ["required.record_id"], "b": ["minimum.amount", "range.amount"], "d": ["range.amount"]}
     assert rules.rejection_metrics(bad).first().asDict() == {"rejected_records": 3, "rule_failures": 4}
     assert {r["rule_id"]: r["failed_records"] for r in rules.rule_summary(bad, "d").collect()}["range.amount"] == 2
-    assert rules.from_message("Some Text!", lambda: F.lit(True)).rule_id == "some_text"
+    assert rules.from_message("Some Text!", lambda: F.lit(True)).rule_id == "some.text"
     assert [r.rule_id for r in rules.registered("d", {"*": [rules.required("a")], "d": [rules.required("b")]})] == ["required.a", "required.b"]
 
 
@@ -319,8 +321,64 @@ def test_analytics(spark):
 
 def test_layouts(spark, tmp_path):
     df = spark.createDataFrame([(i, 2024, 1 + i % 2, "A", dt.date(2024, 1, 1 + i % 3)) for i in range(30)], "l_orderkey long, y int, m int, borough string, pickup_date date")
-    out = experiments.layout_benchmark(spark, df, str(tmp_path), {"n": lambda d: d.groupBy("borough").count()}, runs=1)
-    assert {r["layout"] for r in out} == set(experiments.LAYOUTS) and all(r["files"] for r in out)
+    shapes = experiments.layouts(("y", "m"), "borough", "pickup_date", "l_orderkey")
+    out = experiments.layout_benchmark(spark, df, str(tmp_path), {"n": lambda d: d.groupBy("borough").count()}, shapes, runs=1)
+    assert {r["layout"] for r in out} == set(shapes) == set(experiments.layouts()) and all(r["files"] for r in out)
+    wide = spark.createDataFrame([tuple(range(22))], ", ".join(f"{c} int" for c in [*experiments.BENCHMARK_COLUMNS, "other"]))
+    assert len(experiments.benchmark_input(wide).columns) == 21
+    with pytest.raises(ValueError, match="trip_id"):
+        experiments.benchmark_input(wide.drop("trip_id"))
+
+
+def test_experiment(spark, tmp_path):
+    t = fact(spark)
+    hours = spark.createDataFrame([(dt.datetime(2024, 1, 1, h), 1 + h % 2, float(h)) for h in (9, 10)], f"event_hour {NTZ}, weather_condition_code int, pm25_avg_ug_m3 double")
+    t.write.partitionBy("pickup_year", "pickup_month").parquet(str(tmp_path / "t"))
+    analytics.register(spark.read.parquet(str(tmp_path / "t")), hours, hours)
+    for name, hints in experiments.HINTS.items():
+        plain, changed = spark.sql(analytics.text(name)), spark.sql(experiments.rewritten(analytics.text(name), hints))
+        assert experiments.Snapshot.of(plain.columns, plain.collect()).matches(experiments.Snapshot.of(changed.columns, changed.collect()))
+    pairs = experiments.pruning_pairs(analytics.text("monthly_zone_demand"), 2024, 1)
+    out = experiments.experiment(spark, {"q": analytics.text("peak_hour_by_weekday")}, pairs, experiments.VARIANTS[:1] + experiments.VARIANTS[3:5], blocks=1)
+    assert {r["variant"] for r in out["explored"]} == {"baseline", "aqe", "aqe_32"} and set(out["holds"]) == set(out["selected"])
+    for p in out["pruning"]:
+        assert p["pruned"]["equal"] and "pickup_month" in p["pruned"]["scans"][0]["PartitionFilters"] and p["plain"]["scans"][0]["Location"]
+
+
+def test_pairs_within_the_tolerance():
+    s = experiments.Snapshot.of
+    a, b = s("kxy", [("a", 1.0, 5.0), ("a", 1.0 + 9e-10, 5.0 - 9e-10), ("a", float("nan"), 2.0)]), s("kxy", [("a", 1.0 + 1e-9, 5.0 - 1e-9), ("a", float("nan"), 2.0), ("a", 1.0, 5.0)])
+    assert a.matches(b) and not a.matches(s("kxy", [("a", 1.0, 5.0), ("a", 1.0, 5.1), ("a", float("nan"), 2.0)]))
+    for n in range(200):
+        r = random.Random(n)
+        rows = [("k", round(r.random() * 4) / 4, round(r.random() * 4) / 4) for _ in range(5)]
+        moved = [(k, x + r.choice([-1, 0, 1]) * 1e-10, y + r.choice([-1, 0, 1]) * 1e-10) for k, x, y in r.sample(rows, 5)]
+        assert s("kxy", rows).matches(s("kxy", moved)) and s("kx", [x[:2] for x in rows]).matches(s("kx", [x[:2] for x in moved]))
+
+
+def test_workflows_and_workload(spark, tmp_path):
+    rows = spark.range(20).withColumn("x", F.col("id") * 2)
+    out = experiments.compare_workflows({"files": lambda: rows, "table": lambda: rows.select("x", "id")}, lambda df: df.count(), lambda df: df.count(), 1)
+    assert set(out) == {"files", "table"} and all(v["total"] >= v["training"] for v in out.values())
+    with pytest.raises(ValueError):
+        experiments.compare_workflows({"files": lambda: rows, "table": lambda: rows.limit(3)}, lambda df: None, lambda df: None, 1)
+    figures = experiments.workload(spark, str(tmp_path), 200, 20, 5, 1)
+    assert set(figures["refresh_s"]) == {"by_day", "by_zone", "by_zone_day", "by_amount"} and figures["storage"]["product"]["files"]
+
+
+def test_snapshot_scopes_and_compaction(spark, tmp_path):
+    from tidewright.sources.snapshot import SnapshotTable
+
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    for k in range(4):
+        t.append(spark.createDataFrame([(k, "a"), (k, "b")], "k int, v string"))
+    before = t.info().folders
+    t.replace_scopes(spark.createDataFrame([(2, "new")], "k int, v string"), spark.createDataFrame([(2,), (9,)], "k int"), ["k"])
+    assert {(r.k, r.v) for r in t.read().collect()} == {(k, v) for k in (0, 1, 3) for v in "ab"} | {(2, "new")}
+    assert len(set(before) & set(t.info().folders)) == 3
+    assert t.read()._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1  # one reader, however many folders
+    t.compact()
+    assert len(t.info().folders) == 1 and t.read().count() == 7 and t.compact() is None
 
 
 # --- releases, streams, pipeline

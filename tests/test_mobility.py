@@ -1,4 +1,4 @@
-"""The mobility lakehouse from its published file formats, made-up releases, and the command line."""
+"""The mobility warehouse from its published file formats, made-up releases, and the command line."""
 
 import datetime as dt
 import json
@@ -28,9 +28,9 @@ def source(spark, folder):
     (folder / "air_quality/a.csv").write_text(",".join(a) + "\n" + ",".join(values.get(c, "") for c in a) + "\n")
 
 
-def test_lakehouse_and_release(spark, tmp_path, capsys):
+def test_warehouse_and_release(spark, tmp_path, capsys):
     source(spark, tmp_path / "in")
-    m = mobility.lakehouse(spark, str(tmp_path / "w"), str(tmp_path / "in"), [PERIOD])
+    m = mobility.warehouse(spark, str(tmp_path / "w"), str(tmp_path / "in"), [PERIOD])
     assert m.run() == 6 + 2 + 2 + 1
     fact = m.w.table("integrated", "trips").read()
     assert fact.count() == 5 and m.w.table("rejected/reference", "trips").read().count() == 1  # one dropoff zone does not exist

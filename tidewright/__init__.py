@@ -1 +1 @@
-"""Tidewright: a Spark-first lakehouse and training-data engine."""
+"""Tidewright: a Spark-first warehouse and training-data engine."""

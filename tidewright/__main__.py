@@ -1,4 +1,4 @@
-"""``python -m tidewright COMMAND --root WAREHOUSE [--source FILES] ...``: the mobility lakehouse from the shell."""
+"""``python -m tidewright COMMAND --root WAREHOUSE [--source FILES] ...``: the mobility warehouse from the shell."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--source", default=".", help="folder of the source files")
     p.add_argument("--period", nargs=2, action="append", metavar=("START", "END"), help="half-open period of pickups; may be given again")
     p.add_argument("--manifest", help="manifest of a release, for updates")
+    p.add_argument("--releases", help="folder of releases, for updates: all below it, begun ones first")
     p.add_argument("--query", help="one analytical query; all without it")
     p.add_argument("--save", action="store_true", help="store the queries' results")
     p.add_argument("--table", help="layer/name of a table, for view")
@@ -26,13 +27,13 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tidewright").getOrCreate()
     periods = [Period(*x) for x in a.period or [("1900-01-01 00:00:00", "2200-01-01 00:00:00")]]
-    m = mobility.lakehouse(spark, a.root, a.source, periods)
+    m = mobility.warehouse(spark, a.root, a.source, periods)
     if a.command == "all":
         print(m.run())
     elif a.command in m.steps():
         print(m.steps()[a.command]())
     elif a.command == "updates":
-        print(json.dumps(m.w.apply(a.manifest), indent=2, default=str))
+        print(json.dumps(m.w.apply(a.manifest) if a.manifest else m.w.apply_all(a.releases), indent=2, default=str))
     elif a.command == "queries":
         analytics.register(m.w.table("integrated", "trips").read(), m.w.table("normal", "weather").read(), m.w.table("normal", "air_quality").read(), periods)
         for name in [a.query] if a.query else analytics.QUERIES:

@@ -108,8 +108,9 @@ def content_hash(columns: Sequence[str]) -> Column:
 
 
 def bucket(key: str, n: int, seed: int = 0) -> Column:
-    """A pseudo-random but repeatable number below n for each key."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n))
+    """A pseudo-random but repeatable number below n for each key: 60 bits of the MD5 of seed and key, which any engine has."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % n
 
 
 def sampled(key: str, share: float, seed: int = 0) -> Column:

@@ -15,6 +15,7 @@ from .rules import at_least, between, classify, combined, non_empty, predicate,
 
 #: The counties and the unit of the particle sensors.
 COUNTIES, STATE, UNIT = ("Bronx", "Kings", "Queens"), "New York", "Micrograms/cubic meter (LC)"
+#: The measures of the weather files and their names.
 MEASURES = {"temperature_c": "temp", "relative_humidity_pct": "rhum", "precipitation_mm": "prcp", "snow_depth_mm": "snwd", "wind_direction_deg": "wdir", "wind_speed_kmh": "wspd", "wind_gust_kmh": "wpgt", "pressure_hpa": "pres", "cloud_cover_pct": "cldc"}
 
 Cleaned = tuple[DataFrame, DataFrame]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,10 @@ def split_novel(incoming: DataFrame, stored: DataFrame | None, keys: list[str],
     if stored is not None:
         # a column that the stored table does not have yet counts as null there
         kinds = {f.name: f.dataType for f in incoming.schema}
-        now = latest(stored, keys, by_ingestion(stored))
+        # of the history only the batch's keys are ranked, null keys included
+        asked = once.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
+        same = reduce(lambda a, b: a & b, (stored[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+        now = latest(stored.join(asked, same, "left_semi"), keys, by_ingestion(stored))
         now = now.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in stored.columns else F.lit(None).cast(kinds[c]).alias(c) for c in own)).select(content_hash(own).alias("_content"))
         known = once.join(now, "_content", "left_semi")
         out.append(reject_all(known, "duplicate.existing_record", "the stored revision is the same", "duplicate", "deduplication"))

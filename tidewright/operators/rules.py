@@ -19,7 +19,7 @@ def required(column: str) -> Rule:
 
 
 def non_empty(column: str) -> Rule:
-    return Rule(f"non_empty.{column}", f"{column} must not be empty", "incomplete", lambda: F.col(column).isNull() | (F.trim(F.col(column)) == ""))
+    return Rule(f"required.{column}", f"{column} must not be empty", "incomplete", lambda: F.col(column).isNull() | (F.trim(F.col(column)) == ""))
 
 
 def between(column: str, low: float, high: float) -> Rule:
@@ -36,8 +36,8 @@ def predicate(rule_id: str, message: str, invalid: Callable[[], Column], categor
 
 
 def from_message(message: str, invalid: Callable[[], Column]) -> Rule:
-    """A rule known only by its message: its id is the message as a slug."""
-    return Rule(re.sub(r"[^a-z0-9]+", "_", message.lower()).strip("_"), message, "dataset_specific", invalid)
+    """A rule known only by its message: its id is the message's words joined by dots."""
+    return Rule(re.sub(r"[^a-z0-9]+", ".", message.lower()).strip("."), message, "dataset_specific", invalid)
 
 
 def registered(name: str, by_dataset: dict[str, Iterable[Rule]], extra: Iterable[Rule] = ()) -> tuple[Rule, ...]:

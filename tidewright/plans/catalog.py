@@ -323,12 +323,12 @@ def record_hash(spark, d):
     return table(spark, d, "events").select("event_id", C.text_hash(["event_id", "user_id", "event_type", "props"]).alias("record_hash"))
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE CAST('0x' || substr(md5('7:' || l_orderkey), 1, 15) AS BIGINT) % 1000000 < 100000")
 def hash_sample(spark, d):
     return table(spark, d, "lineitem").where(C.sampled("l_orderkey", 0.1, 7)).select("l_orderkey", "l_linenumber")
 
 
-@query()
+@query("SELECT CAST('0x' || substr(md5('7:' || l_orderkey), 1, 15) AS BIGINT) % 16 AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
 def hash_bucket(spark, d):
     return table(spark, d, "lineitem").groupBy(C.bucket("l_orderkey", 16, 7).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -481,11 +481,11 @@ def _runs(spark, d):
     from . import ops
 
     e = table(spark, d, "events")
-    log = e.select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("dataset_name"), F.when(F.col("event_id") % 10 == 0, "FAILED").otherwise("SUCCESS").alias("status"), F.col("ts").alias("started_at"), C.cents("value").alias("duration_ms"), (F.col("event_id") % 5).alias("records_rejected"), F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("event_id") % 4).alias("validation_failures"))
+    log = e.select(F.col("event_id").cast("string").alias("run_id"), (F.col("event_id") % 100).cast("string").alias("parent_run_id"), F.col("user_id").cast("string").alias("release_id"), F.when(F.col("event_id") % 7 == 0, "consumption").otherwise("dataset_update").alias("operation"), (F.col("event_id") % 50).alias("records_read"), F.col("event_type").alias("dataset_name"), F.when(F.col("event_id") % 10 == 0, "FAILED").otherwise("SUCCESS").alias("status"), F.col("ts").alias("started_at"), C.cents("value").alias("duration_ms"), (F.col("event_id") % 5).alias("records_rejected"), F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("event_id") % 4).alias("validation_failures"))
     return ops, log
 
 
-RUNS = f"(SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS dataset_name, CASE WHEN event_id % 10 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, ts AS started_at, {_cents('value')} AS duration_ms, event_id % 5 AS records_rejected, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 4 END AS validation_failures FROM events)"
+RUNS = f"(SELECT CAST(event_id AS VARCHAR) AS run_id, CAST(event_id % 100 AS VARCHAR) AS parent_run_id, CAST(user_id AS VARCHAR) AS release_id, CASE WHEN event_id % 7 = 0 THEN 'consumption' ELSE 'dataset_update' END AS operation, event_id % 50 AS records_read, event_type AS dataset_name, CASE WHEN event_id % 10 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, ts AS started_at, {_cents('value')} AS duration_ms, event_id % 5 AS records_rejected, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 4 END AS validation_failures FROM events)"
 
 
 @query(f"SELECT dataset_name, CAST(coalesce(sum(validation_failures), 0) AS BIGINT) AS validation_failures, CAST(coalesce(sum(records_rejected), 0) AS BIGINT) AS records_rejected, count(*) AS n_runs FROM {RUNS} GROUP BY 1")
@@ -500,7 +500,7 @@ def ops_time_by_group(spark, d):
     return ops.view(spark, "time_by_dataset", log)
 
 
-@query(f"SELECT run_id, dataset_name, records_rejected FROM {RUNS} WHERE records_rejected > 0")
+@query(f"SELECT run_id, parent_run_id, release_id, started_at, dataset_name, records_read, records_rejected, validation_failures, status FROM {RUNS} WHERE operation = 'dataset_update' AND status = 'SUCCESS'")
 def ops_rejects_by_run(spark, d):
     ops, log = _runs(spark, d)
     return ops.view(spark, "rejects_by_run", log)

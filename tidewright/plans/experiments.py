@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import statistics
 import time
 from collections import Counter
@@ -15,8 +16,16 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.columns import bucket
+from ..operators import rules
+from ..operators.diff import bag_difference
+from ..operators.keys import split_novel
+from ..sources.contracts import with_lineage
+from ..sources.snapshot import SnapshotTable
+from . import ops
+from .products import ProductSpec, build
 
 
 @dataclass(frozen=True)
@@ -35,6 +44,7 @@ VARIANTS = (
     Variant("cache", BASELINE, ("trips",)),
     Variant("broadcast", BASELINE | {"spark.sql.autoBroadcastJoinThreshold": "10485760"}),
     Variant("aqe", BASELINE | {"spark.sql.adaptive.enabled": "true"}),
+    Variant("aqe_32", BASELINE | {"spark.sql.adaptive.enabled": "true", "spark.sql.shuffle.partitions": "32"}),
     Variant("combined", {"spark.sql.autoBroadcastJoinThreshold": "10485760", "spark.sql.adaptive.enabled": "true"}, ("trips",)),
 )
 
@@ -62,13 +72,35 @@ def rewritten(sql: str, changes: Mapping[str, str]) -> str:
 
 
 def hinted(sql: str, *views: str) -> str:
-    """A broadcast hint in the query's last SELECT."""
+    """A broadcast hint in the query's last SELECT; HINTS names places for the registered queries."""
     head, select, tail = sql.rpartition("SELECT ")
     if not select:
         raise ValueError("no SELECT")
     return f"{head}SELECT /*+ BROADCAST({', '.join(views)}) */ {tail}"
 
 
+#: Broadcast hints by query: each SELECT that gets one, and the small side it names.
+HINTS = {"zone_weather_variation": {"SELECT z.id, z.zone, cast(": "SELECT /*+ BROADCAST(d) */ z.id, z.zone, cast(", "SELECT pickup_location_id AS id, w.": "SELECT /*+ BROADCAST(w) */ pickup_location_id AS id, w."}, "monthly_demand_trend": {"SELECT a.month,": "SELECT /*+ BROADCAST(b) */ a.month,"}}
+
+
+def pruning_pairs(sql: str, year: int, month: int, after: str = "FROM trips") -> dict[str, tuple[str, str]]:
+    """A query cut to one month, without and with the predicate on the partition columns: by a function of the time, and by its range."""
+    following = f"{year + month // 12}-{month % 12 + 1:02d}"
+    cuts = {"function_filter": f"date_format(pickup_timestamp, 'yyyy-MM') = '{year}-{month:02d}'", "range_filter": f"pickup_timestamp >= timestamp_ntz'{year}-{month:02d}-01 00:00:00' AND pickup_timestamp < timestamp_ntz'{following}-01 00:00:00'"}
+    pruned = f"pickup_year = {year} AND pickup_month = {month}"
+    return {k: (rewritten(sql, {after: f"{after} WHERE {c}"}), rewritten(sql, {after: f"{after} WHERE {pruned} AND {c}"})) for k, c in cuts.items()}
+
+
+def scans(plan: str) -> list[dict[str, str]]:
+    """Of each scan of a formatted plan: where it reads, its partition and pushed filters, the columns it reads."""
+    out = []
+    for part in re.split(r"\n\n(?=\(\d+\) )", plan):
+        if re.match(r"\(\d+\) (Batch)?Scan", part):
+            found = dict(re.findall(r"^(Location|PartitionFilters|PushedFilters|ReadSchema): (.*)$", part, re.M))
+            out.append({k: found.get(k, "") for k in ("Location", "PartitionFilters", "PushedFilters", "ReadSchema")})
+    return out
+
+
 def measure(spark: SparkSession, sql: str, variant: Variant, runs: int = 5, warm_up: int = 1, expected: Snapshot | None = None) -> dict:
     """Times of a query under a variant, its plan, its plan's metrics, and whether every run gave the expected rows."""
     with settings(spark, variant.conf):
@@ -88,7 +120,7 @@ def measure(spark: SparkSession, sql: str, variant: Variant, runs: int = 5, warm
                 snap = Snapshot.of(df.columns, rows)
                 expected = expected or snap
                 equal &= snap.matches(expected)
-            return {"variant": variant.name, "seconds": seconds, "median": statistics.median(seconds), "equal": equal, "plan": plan, "metrics": plan_metrics(df), "snapshot": expected}
+            return {"variant": variant.name, "seconds": seconds, "median": statistics.median(seconds), "equal": equal, "plan": plan, "scans": scans(plan), "metrics": plan_metrics(df), "snapshot": expected}
         finally:
             for v in variant.cached:
                 spark.catalog.uncacheTable(v)
@@ -125,6 +157,27 @@ def candidates(results: list[dict], least_gain: float = 0.05) -> dict[str, str]:
     return best
 
 
+def experiment(spark: SparkSession, queries: Mapping[str, str], pairs: Mapping[str, tuple[str, str]] | None = None, variants: Sequence[Variant] = VARIANTS, blocks: int = 3, seed: int = 1) -> dict:
+    """Exploration, a frozen selection, and its confirmation.
+
+    explored: all variants of all queries. pruning: each pair's two queries under the baseline, which must give the same
+    rows. selected: the variant of each query that exploration prefers; it is frozen before confirmation. confirmed: only
+    baseline and selection, in new blocks of another order; ``holds`` says for each query whether the gain is there again.
+    """
+    explored = suite(spark, queries, variants, blocks, seed=seed)
+    pruning = []
+    for name, (plain, pruned) in (pairs or {}).items():
+        a = measure(spark, plain, Variant("baseline", BASELINE), blocks)
+        b = measure(spark, pruned, Variant("pruned", BASELINE), blocks, expected=a.pop("snapshot"))
+        b.pop("snapshot")
+        pruning.append({"pair": name, "plain": a, "pruned": b})
+    selected = candidates(explored)
+    by_name = {v.name: v for v in variants}
+    confirmed = [r for q, v in selected.items() for r in suite(spark, {q: queries[q]}, (by_name["baseline"], by_name[v]), blocks, seed=seed + 1)]
+    again = candidates(confirmed)
+    return {"explored": explored, "pruning": pruning, "selected": selected, "confirmed": confirmed, "holds": {q: again.get(q) == v for q, v in selected.items()}}
+
+
 def plan_metrics(df: DataFrame) -> dict[str, dict[str, int]]:
     """Metrics of the plan that ran, by operator, through adaptive stages; empty where there is no JVM session."""
     try:
@@ -195,46 +248,63 @@ def _close(a, b, tolerance: float) -> bool:
 
 
 def _matched(left: list[tuple], right: list[tuple], tolerance: float) -> bool:
+    """Whether rows that agree in all but their numbers can be paired off within the tolerance."""
     if len(left) != len(right):
         return False
-    edges = [[j for j, b in enumerate(right) if all(_close(x, y, tolerance) for x, y in zip(a, b))] for a in left]
-    taken: dict[int, int] = {}
-    for start in range(len(left)):
-        parent, queue, end = {}, [start], None  # a shortest path that frees a place for one more row
-        while queue and end is None:
-            i = queue.pop(0)
-            for j in edges[i]:
-                if j not in parent:
-                    parent[j] = i
-                    if j not in taken:
-                        end = j
-                        break
-                    queue.append(taken[j])
-        if end is None:
-            return False
-        owner = {i: j for j, i in taken.items()}
-        while end is not None:
-            i = parent[end]
-            taken[end], end = i, owner.get(i)
-    return True
 
+    def in_order(row: tuple) -> list:
+        return [(v != v, 0.0 if v != v else v) for v in row if isinstance(v, float)]
+
+    left, right = sorted(left, key=in_order), sorted(right, key=in_order)
 
-LAYOUTS: dict[str, Callable[[DataFrame], tuple[DataFrame, tuple[str, ...]]]] = {
-    "unpartitioned": lambda df: (df, ()),
-    "by_month": lambda df: (df, ("y", "m")),
-    "by_region": lambda df: (df, ("borough",)),
-    "by_date": lambda df: (df.repartition("pickup_date"), ("pickup_date",)),
-    **{f"random_{n}": lambda df, n=n: (df.withColumn("_b", bucket("l_orderkey", n)).repartition(n, "_b").drop("_b"), ()) for n in (20, 128, 608)},
-}
+    def fits(i: int, j: int) -> bool:
+        return all(_close(x, y, tolerance) for x, y in zip(left[i], right[j]))
 
+    if all(fits(i, i) for i in range(len(left))):
+        return True
+    if not left or len(in_order(left[0])) < 2:
+        return False  # of one number the order is the best pairing
+    held_by: dict[int, int] = {}
 
-def layout_benchmark(spark: SparkSession, df: DataFrame, folder: str, queries: Mapping[str, Callable[[DataFrame], DataFrame]], layouts: Iterable[str] = LAYOUTS, writes: int = 1, runs: int = 3) -> list[dict]:
+    def seat(i: int, asked: set[int]) -> bool:
+        for j in range(len(right)):
+            if j not in asked and fits(i, j):
+                asked.add(j)
+                if j not in held_by or seat(held_by[j], asked):
+                    held_by[j] = i
+                    return True
+        return False
+
+    return all(seat(i, set()) for i in range(len(left)))
+
+
+#: The columns of the integrated fact that layouts are compared on.
+BENCHMARK_COLUMNS = "trip_id vendor_id pickup_timestamp dropoff_timestamp passenger_count trip_distance pickup_location_id dropoff_location_id payment_type fare_amount total_amount trip_duration_seconds pickup_date pickup_year pickup_month pickup_borough taxi_schema_version pickup_zone_schema_version dropoff_zone_schema_version weather_schema_version air_quality_schema_versions".split()
+
+
+def benchmark_input(integrated: DataFrame) -> DataFrame:
+    """The columns that layouts are compared on; a ValueError names those that are missing."""
+    if missing := [c for c in BENCHMARK_COLUMNS if c not in integrated.columns]:
+        raise ValueError(f"the source lacks the columns {missing}")
+    return integrated.select(*BENCHMARK_COLUMNS)
+
+
+Layout = Callable[[DataFrame], tuple[DataFrame, tuple[str, ...]]]
+
+
+def layouts(month: tuple[str, ...] = ("pickup_year", "pickup_month"), region: str = "pickup_borough", day: str = "pickup_date", key: str = "trip_id") -> dict[str, Layout]:
+    """Ways to store a frame: how it is dealt out, and the columns it is partitioned by."""
+    dealt = {f"random_{n}": lambda df, n=n: (df.withColumn("_b", bucket(key, n)).repartition(n, "_b").drop("_b"), ()) for n in (20, 128, 608)}
+    return {"unpartitioned": lambda df: (df, ()), "by_month": lambda df: (df, month), "by_region": lambda df: (df, (region,)), "by_date": lambda df: (df.repartition(day), (day,)), **dealt}
+
+
+def layout_benchmark(spark: SparkSession, df: DataFrame, folder: str, queries: Mapping[str, Callable[[DataFrame], DataFrame]], shapes: Mapping[str, Layout] | None = None, writes: int = 1, runs: int = 3) -> list[dict]:
     """Writes a frame in each layout and times the queries on it: seconds, megabytes, files."""
     out = []
-    for name in layouts:
+    for name, shape in (shapes or layouts()).items():
         path, seconds = f"{folder}/{name}", []
         for _ in range(writes):
-            shaped, partitions = LAYOUTS[name](df)
+            shaped, partitions = shape(df)
             t = time.perf_counter()
             writer = shaped.write.mode("overwrite")
             (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
@@ -291,3 +361,48 @@ def evaluation(update: Callable[[], object], refresh: Mapping[str, Callable[[],
     """Figures of a running system: update and refresh times, what validation and monitoring add, storage by layer."""
     each = {k: timed(f, repeats) for k, f in refresh.items()}
     return {"update_s": timed(update, repeats), "refresh_s": each, "refresh_total_s": sum(each.values()), "validation": overhead(plain, validated, repeats), "monitoring": overhead(plain, monitored, repeats), "storage": storage(root)}
+
+
+def compare_workflows(paths: Mapping[str, Callable[[], DataFrame]], fit: Callable[[DataFrame], object], learn: Callable[[DataFrame], object], repeats: int = 3) -> dict[str, dict[str, float]]:
+    """Median seconds of preparing, fitting features and training by each way to the training rows, in turns.
+
+    Each way (such as from raw files, or from the integrated table) must give the same rows; that is checked first.
+    """
+    frames = {k: make() for k, make in paths.items()}
+    columns = sorted(next(iter(frames.values())).columns)
+    first = next(iter(frames.values())).select(*columns)
+    for k, f in frames.items():
+        if not bag_difference(first, f.select(*columns)).isEmpty():
+            raise ValueError(f"{k} gives other rows")
+    seconds: dict[str, dict[str, list[float]]] = {k: {"preparation": [], "features": [], "training": []} for k in paths}
+    for turn in range(repeats):
+        for k in sorted(paths, reverse=turn % 2 == 1):
+            rows = paths[k]()
+            for part, work in (("preparation", lambda: rows.write.format("noop").mode("overwrite").save()), ("features", lambda: fit(rows)), ("training", lambda: learn(rows))):
+                seconds[k][part].append(timed(work, 1))
+    out = {k: {part: statistics.median(v) for part, v in parts.items()} for k, parts in seconds.items()}
+    return {k: v | {"total": sum(v.values())} for k, v in out.items()}
+
+
+def workload(spark: SparkSession, root: str, rows: int = 10_000, new: int = 1_000, repeated: int = 100, repeats: int = 3) -> dict:
+    """``evaluation`` on made-up rows in a new folder: an update of new and repeated records, products, rules, the run log."""
+    stored = SnapshotTable(spark, f"{root}/raw/records")
+    facts = SnapshotTable(spark, f"{root}/integrated/facts")
+    log = SnapshotTable(spark, f"{root}/monitoring/runs")
+    made = spark.range(rows + new).select("id", bucket("id", 50).alias("zone"), F.expr("date_add(date'2024-01-01', cast(id % 60 AS int))").alias("day"), (F.col("id") % 97).cast("double").alias("amount"))
+    first, batch = made.where(F.col("id") < rows), made.where(F.col("id") >= rows - repeated)
+    stored.overwrite(with_lineage(first, "records", 1, "first"))
+    facts.overwrite(first.where(F.col("id") < rows // 2))
+    incoming = with_lineage(batch, "records", 1, "second")
+    specs = {n: ProductSpec(n, lambda df, keys=keys: df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("amount").alias("total")), keys, keys, (*keys, "amount")) for n, keys in (("by_day", ("day",)), ("by_zone", ("zone",)), ("by_zone_day", ("zone", "day")), ("by_amount", ("amount",)))}
+    some = rules.required("id"), rules.at_least("amount", 0.0), rules.between("zone", 0, 49)
+    run = lambda df: df.write.format("noop").mode("overwrite").save()
+    return evaluation(
+        lambda: run(split_novel(incoming, stored.read(), ["id"])[0]),
+        {n: lambda s=s, n=n: build(s, facts, SnapshotTable(spark, f"{root}/product/{n}")) for n, s in specs.items()},
+        lambda: run(facts.read()),
+        lambda: run(rules.classify(facts.read(), some)[0]),
+        lambda: (run(facts.read()), ops.record(log, spark, [ops.run_row("dataset_update", "SUCCESS", "records")])),
+        root,
+        repeats,
+    )

@@ -1,4 +1,4 @@
-"""The mobility lakehouse: its four datasets, their contracts by version, and how they are joined."""
+"""The mobility warehouse: its four datasets, their contracts by version, and how they are joined."""
 
 from __future__ import annotations
 
@@ -52,6 +52,6 @@ NORMAL_KEYS = {"trips": ["trip_id"], "zones": ["location_id"], "weather": ["even
 CONTEXT_KEYS = {"zones": {"pickup_location_id": "location_id", "dropoff_location_id": "location_id"}, "weather": {"pickup_hour": "event_hour"}, "air_quality": {"pickup_hour": "event_hour"}}
 
 
-def lakehouse(spark: SparkSession, root: str, source: str, periods: Iterable[Period]) -> Medallion:
+def warehouse(spark: SparkSession, root: str, source: str, periods: Iterable[Period]) -> Medallion:
     w = Warehouse(spark, root, datasets(source, periods), "trips", integrate, NORMAL_KEYS, CONTEXT_KEYS)
     return Medallion(w, REFERENCES)

@@ -19,7 +19,8 @@ EVENTS = "event_id string, dataset_name string, old_version int, new_version int
 VIEWS = {
     "failures_by_dataset": "SELECT dataset_name, coalesce(sum(validation_failures), 0) AS validation_failures, coalesce(sum(records_rejected), 0) AS records_rejected, count(*) AS n_runs FROM {log} GROUP BY dataset_name",
     "time_by_dataset": "SELECT dataset_name, cast(sum(duration_ms) AS double) / count(*) AS mean_ms, max(duration_ms) AS max_ms, min(duration_ms) AS min_ms, count(*) AS n_runs FROM {log} WHERE status = 'SUCCESS' GROUP BY dataset_name",
-    "rejects_by_run": "SELECT run_id, dataset_name, records_rejected FROM {log} WHERE records_rejected > 0",
+    # runs without rejects stay, so that a share can be taken
+    "rejects_by_run": "SELECT run_id, parent_run_id, release_id, started_at, dataset_name, records_read, records_rejected, validation_failures, status FROM {log} WHERE operation = 'dataset_update' AND status = 'SUCCESS' ORDER BY started_at, dataset_name",
     "time_trend": "SELECT date_format(started_at, 'yyyy-MM-dd') AS day, dataset_name, cast(sum(duration_ms) AS double) / count(*) AS mean_ms, count(*) AS n_runs FROM {log} WHERE status = 'SUCCESS' GROUP BY 1, 2",
     "schema_history": "SELECT dataset_name, old_version, new_version, change_type, n_columns FROM {log}",
 }

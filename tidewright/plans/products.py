@@ -15,6 +15,7 @@ from ..operators.diff import changed_rows
 from ..sources.snapshot import SnapshotTable
 from ..specs import ProductSpec
 
+#: The lineage columns of a product.
 LINEAGE = ("taxi_schema_version", "pickup_zone_schema_version", "dropoff_zone_schema_version", "weather_schema_version", "air_quality_schema_versions")
 CATALOG = "product_name string, title string, grain array<string>, scope array<string>, inputs array<string>, table_path string, table_version bigint, source_version bigint, records bigint, bytes bigint, files bigint, schema_versions_json string, partitions array<string>, refresh_kind string, seconds double, built_at timestamp"
 
@@ -86,8 +87,7 @@ def build(spec: ProductSpec, source: SnapshotTable, target: SnapshotTable, catal
     else:
         scopes = changed.select(*spec.scope).distinct()
         fresh = _stamped(spec, spec.build(rows.join(scopes, list(spec.scope), "left_semi")), pinned.version)
-        kept = target.read().join(scopes, list(spec.scope), "left_anti")
-        done, kind = target.overwrite(kept.unionByName(fresh, allowMissingColumns=True), txn), "scoped"
+        done, kind = target.replace_scopes(fresh, scopes, list(spec.scope), txn), "scoped"
     if catalog is not None and done is not None:
         register(source.spark, catalog, spec, target, pinned.version, snapshot_versions(rows), kind, time.time() - started)
     return done

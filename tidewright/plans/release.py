@@ -115,7 +115,7 @@ class ReleaseState:
 
 
 class Warehouse:
-    """The tables of a lakehouse under one folder, and how a release moves through them.
+    """The tables of a warehouse under one folder, and how a release moves through them.
 
     specs: the datasets, each with its cleaner (raw rows -> (valid rows, rejected rows)). integrate: joins the normal
     tables to the fact. fact: the dataset whose key identifies the fact's rows.
@@ -128,6 +128,20 @@ class Warehouse:
     def table(self, layer: str, name: str, partitions: tuple[str, ...] = ()) -> SnapshotTable:
         return SnapshotTable(self.spark, str(self.root / layer / name), partitions)
 
+    def manifests(self, folder: str) -> list[str]:
+        """The manifests of the releases below a folder, by name; those of releases that were begun and not completed come first."""
+        begun = {p.stem for p in (self.root / "_releases").glob("*.json") if load_json(p)["status"] != "complete"}
+        return sorted(map(str, Path(folder).glob("*/manifest.json")), key=lambda p: (load_json(p)["release_id"] not in begun, p))
+
+    def apply_all(self, folder: str) -> list[dict]:
+        """Applies all releases below a folder, one after the other; completed ones write nothing."""
+        return [self.apply(p) for p in self.manifests(folder)]
+
+    def _reject(self, kind: str, dataset: str, rows: DataFrame, txn: str) -> None:
+        """Quarantines rows; where there are none, no version is added."""
+        if not rows.isEmpty():
+            self.table(f"rejected/{kind}", dataset).append(rows.drop("_failures"), txn)
+
     def apply(self, manifest_path: str) -> dict:
         """Applies a release; an interrupted one goes on where it stopped, a completed one writes nothing."""
         manifest = load_manifest(manifest_path, self.specs)
@@ -153,13 +167,16 @@ class Warehouse:
             state.step(f"raw/{f.dataset}", lambda f=f: self._ingest(f, m, txn))
         for f in m.files:
             state.step(f"normal/{f.dataset}", lambda f=f: self._clean(f, m, txn))
-        changed = state.step("integrated", lambda: self._integrate(base, txn))
+        changed = state.step("integrated", lambda: self._integrate(base, txn, m.release_id))
         if changed is None:
             return
         table = self.table("integrated", self.fact)
         now = table.read()
         before = table.read(base[f"integrated/{self.fact}"]) if f"integrated/{self.fact}" in base else now.limit(0)
         key = self.normal_keys[self.fact][0]
+        changed_keys = self.table("stage", f"{m.release_id}-changed")
+        if changed_keys.exists():
+            now, before = (affected(x, changed_keys.read(), [key]) for x in (now, before))
         for layer, specs in (("aggregate", AGGREGATES), ("product", PRODUCTS)):
             moved = affected_products(before, now, key, specs.values())
             for name, rows in moved.items():
@@ -187,7 +204,7 @@ class Warehouse:
         raw = self.table("raw", f.dataset)
         keys = list(spec.business_key)
         novel, repeated = split_novel(stage.read(), raw.read() if raw.exists() else None, keys, spec.conflicts)
-        self.table("rejected/deduplication", f.dataset).append(repeated.drop("_failures"), f"{txn}/{f.dataset}")
+        self._reject("deduplication", f.dataset, repeated, f"{txn}/{f.dataset}")
         before = raw.info().rows if raw.exists() else 0
         raw.append(novel, f"{txn}/{f.dataset}")
         return {"accepted": accepted, "rejected": n_bad, "novel": raw.info().rows - before}
@@ -202,12 +219,12 @@ class Warehouse:
         scope = list(spec.partitions) or list(spec.business_key)
         good, bad = spec.clean(affected(rows, touched, scope))
         if bad is not None:
-            self.table("rejected/cleaning", f.dataset).append(bad.drop("_failures"), f"{txn}/{f.dataset}")
+            self._reject("cleaning", f.dataset, bad, f"{txn}/{f.dataset}")
         keys = self.normal_keys[f.dataset]
         fresh = changed_rows(good, normal.read(), keys) if normal.exists() and set(good.columns) <= set(normal.info().schema.names) else good
         return {"version": normal.merge(fresh, keys, txn=f"{txn}/{f.dataset}")}
 
-    def _integrate(self, base: dict, txn: str) -> dict | None:
+    def _integrate(self, base: dict, txn: str, release: str) -> dict | None:
         """Joins anew only the facts that are new or whose context changed, and upserts those that differ."""
         normals = {d: self.table("normal", d) for d in self.specs}
         if not all(t.exists() for t in normals.values()):
@@ -230,6 +247,7 @@ class Warehouse:
         fresh = changed_rows(wide, target.read(), fact_key) if set(wide.columns) == set(target.info().schema.names) else wide
         if fresh.isEmpty():
             return None
+        self.table("stage", f"{release}-changed").overwrite(fresh.select(*fact_key))  # what products are refreshed from
         return {"version": target.merge(fresh, fact_key, txn=f"{txn}/integrated")}
 
 

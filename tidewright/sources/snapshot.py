@@ -74,8 +74,7 @@ class SnapshotTable:
         folders = v.folders if folders is None else folders
         if not folders:
             return self.spark.createDataFrame([], v.schema)
-        frames = [self.spark.read.option("basePath", str(self.path / f)).schema(v.schema).parquet(str(self.path / f)) for f in folders]
-        return reduce(DataFrame.unionByName, frames).select(*v.schema.names)
+        return self.spark.read.schema(v.schema).parquet(*(str(self.path / f) for f in folders)).select(*v.schema.names)
 
     # --- writing
 
@@ -124,6 +123,22 @@ class SnapshotTable:
         rest = self._of(old, touched).join(new, same, "left_anti")
         return self._commit("merge", [f for f in old.folders if f not in touched], rest.unionByName(df, allowMissingColumns=True) if touched else df, txn, old)
 
+    def replace_scopes(self, df: DataFrame, scopes: DataFrame, keys: list[str], txn: str | None = None) -> int | None:
+        """Replaces the rows whose keys are among the scopes, nulls equal to nulls; folders without such a row stay as they are."""
+        old = self.info()
+        if txn and txn in old.txns:
+            return None
+        asked = scopes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+        touched = self._touched(old, lambda f: f.join(asked, same, "left_semi"))
+        rest = self._of(old, touched).join(asked, same, "left_anti") if touched else None
+        return self._commit("replace_scopes", [f for f in old.folders if f not in touched], rest.unionByName(df, allowMissingColumns=True) if touched else df, txn, old)
+
+    def compact(self) -> int | None:
+        """The same rows in one folder, as a new version; a table of one folder is left as it is."""
+        old = self.info()
+        return self._commit("compact", [], self.read(), None, old) if len(old.folders) > 1 else None
+
     def append_fitting(self, df: DataFrame, txn: str | None = None) -> int | None:
         """Appends rows of changed types if every value fits the stored ones; the original goes along as JSON."""
         stored = {f.name: f.dataType.simpleString() for f in self.info().schema}
@@ -143,11 +158,13 @@ class SnapshotTable:
         return dead
 
     def _touched(self, old: Version, matching) -> tuple[str, ...]:
-        """Folders with a matching row: one job over all of them."""
+        """Folders with a matching row: one reader and one job over all of them."""
         if not old.folders:
             return ()
-        frames = [matching(self._of(old, (f,))).select(F.lit(f).alias("folder")) for f in old.folders]
-        return tuple(r["folder"] for r in reduce(DataFrame.unionByName, frames).distinct().collect())
+        rows = self.spark.read.schema(old.schema).parquet(*(str(self.path / f) for f in old.folders))
+        found = matching(rows.select(*old.schema.names, F.col("_metadata.file_path").alias("_file")))
+        names = found.select(F.regexp_extract("_file", r"/(data/[0-9a-f]{32})/", 1).alias("folder")).distinct()
+        return tuple(sorted(r["folder"] for r in names.collect()))
 
     def _commit(self, operation: str, keep: list[str], df: DataFrame, txn: str | None, old: Version | None = None, before: Version | None = None) -> int:
         before = old or before
@@ -155,7 +172,7 @@ class SnapshotTable:
             extra = [f for f in df.schema.fields if f.name not in old.schema.names]
             schema = T.StructType([*old.schema.fields, *(T.StructField(f.name, f.dataType, True) for f in extra)])
             df = aligned(df, {f.name: f.dataType.simpleString() for f in schema.fields})
-            df = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if df.schema[f.name].dataType != f.dataType else F.col(f"`{f.name}`") for f in schema.fields))
+            df = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if df.schema[f.name].dataType.simpleString() != f.dataType.simpleString() else F.col(f"`{f.name}`") for f in schema.fields))
         else:
             schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
         folder = f"data/{uuid.uuid4().hex}"
