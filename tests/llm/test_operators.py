@@ -196,6 +196,29 @@ def test_language(spark, odd, empty):
     assert {x["lang_pred"] for x in language.identify(unlabelled).collect()} == {"und"}
 
 
+def test_more_languages_than_a_task_holds(spark):
+    r = random.Random(40)
+    words = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöüéñ") for _ in range(7)) for _ in range(6)] for k in range(300)}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(30)), k) for i, k in enumerate(list(words) * 4)]
+    out = by_id(language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    known = {k for i, _, k in rows if not out[i]["held_out"]}
+    assert len(known) > 256 and all(out[i]["lang_pred"] == k for i, _, k in rows if k in known)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    texts = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("word "), 200_000).alias("text"))  # 1 MB each
+    common.ship(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) <= common.BATCH_BYTES + 1_100_000
+    assert {r["n_words"] for r in quality.features(texts.withColumnRenamed("id", "doc_id")).collect()} == {200_000}
+
+
 def test_language_sums():
     langs, texts = ["x", "y"], ["ab ab", "zz"]
     codes, owner, has = language._codes([*texts, "12", None])

@@ -47,6 +47,13 @@ def test_pipeline(spark):
     assert single.count() < quality.count() and clean.count() <= single.count() and redacted.count() == clean.count() == ids.count()
     from tests.llm.test_operators import slow_links
 
+    from tests.llm.test_operators import slow_kept, slow_overlaps
+
+    whole = spark.read.parquet(f"{D}/documents.parquet").collect()
+    assert {r["doc_id"] for r in quality.collect()} == {r["doc_id"] for r, (_, kept) in zip(whole, slow_kept([r["text"] for r in whole])) if kept}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    leaked = {i for i, _ in slow_overlaps([(r["doc_id"], r["text"]) for r in single.collect()], items)}
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - leaked
     rows = [(r["doc_id"], r["text"]) for r in quality.collect()]
     assert {r["doc_id"] for r in single.collect()} == {c for _, c in slow_links(rows).values()}
     from tidewright.llm import secret_scan
@@ -55,3 +62,20 @@ def test_pipeline(spark):
     assert all(r["text"] == secret_scan.redacted(before[r["doc_id"]], secret_scan.scan(before[r["doc_id"]])[1]) for r in redacted.collect())
     whole = corpus_pipeline.run(spark, D)
     assert sorted(map(str, whole.collect())) == sorted(map(str, ids.collect()))
+
+
+def test_pipeline_on_odd_tables(spark, monkeypatch):
+    """An empty table, and one of null ids, null and long texts, repeated rows and columns with the names used inside."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(30)
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 == 3, None).otherwise(F.col("doc_id")))
+    odd = odd.unionByName(docs.limit(5)).unionByName(docs.limit(1).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 200)))
+    odd = odd.unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).withColumns({c: F.lit("x") for c in ("id", "digest", "row", "cell", "_cell", "token", "item", "votes", "ids")})
+    for df in (odd, odd.limit(0)):
+        ends, now = [], df
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, D)
+            now = spark.createDataFrame(out.collect(), out.schema)
+            ends.append(now.count())
+        assert ends == sorted(ends, reverse=True) and (ends[-1] > 0) == (df is odd)

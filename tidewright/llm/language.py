@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Fitting counts n-grams over all labelled rows, distributed; the driver gets at most languages x buckets sums, and the
-log-probability matrix of that fixed size is broadcast. Scoring gathers the matrix rows of a slice's n-grams in numpy.
+Fitting counts n-grams over all labelled rows, distributed; the driver gets languages x buckets sums (128 kB of matrix for
+each language that occurs, however many rows there are), and the log-probability matrix is broadcast. Scoring gathers the matrix rows of a slice's n-grams in numpy.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from .common import map_rows, ship, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-MAX_LANGS = 256
+#: Languages whose sums a task holds at once (16 MB); further ones make it pass on what it has.
+HELD_LANGS = 64
 SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,30 +68,36 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """(languages, matrix languages x BUCKETS of log-probabilities) from all rows with a text and a language."""
 
     def count(batches):
-        total: dict[str, np.ndarray] = {}  # at most MAX_LANGS arrays; a task's sums go out once
+        total: dict[str, np.ndarray] = {}
+
+        def sums():
+            for name, row in total.items():
+                at = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "bucket", "n"])
+            total.clear()
+
         for batch in batches:
             for part in slices(batch, SLICE_BYTES):
                 langs = part.column(1).to_pylist()
                 names = sorted(set(langs))
                 codes, owner, _ = _codes(part.column(0).to_pylist())
                 bucket, whose = grams(codes, owner)
-                index = np.array([names.index(x) for x in langs])
-                sums = np.bincount(index[whose] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                for name, row in zip(names, sums):
+                place = {x: i for i, x in enumerate(names)}
+                index = np.array([place[x] for x in langs])[whose]
+                order = np.argsort(index, kind="stable")
+                bounds = np.searchsorted(index[order], np.arange(len(names) + 1))
+                for i, name in enumerate(names):
+                    if name not in total and len(total) == HELD_LANGS:
+                        yield from sums()
+                    row = np.bincount(bucket[order[bounds[i] : bounds[i + 1]]], minlength=BUCKETS)
                     total[name] = total[name] + row if name in total else row
-                if len(total) > MAX_LANGS:
-                    raise ValueError(f"more than {MAX_LANGS} languages")
-        for name, row in total.items():
-            at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "bucket", "n"])
+        yield from sums()
 
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
     sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # at most MAX_LANGS x BUCKETS rows
-    langs = sorted(set(got.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the matrix is bounded at {MAX_LANGS}")
+    got = sums.toArrow()  # at most languages x BUCKETS rows
+    langs = sorted(got.column("lang").unique().to_pylist())
     table = np.full((len(langs), BUCKETS), 0.5)
     if langs:
         table[np.searchsorted(langs, got.column("lang").to_numpy(zero_copy_only=False).astype(str)), got.column("bucket").to_numpy()] += got.column("n").to_numpy()
@@ -112,7 +119,12 @@ def classify(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> t
 
 
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, lang_pred, score (0 to 1). Repeated rows give a row each; extra columns are not read."""
+    """One row per document: id, lang_pred, score (0 to 1).
+
+    Null and empty texts, texts without a letter, and all texts where no language was learned give ``und`` and 0. Of
+    languages with the same score the first by name is taken. Repeated rows give a row each, null ids stay null, an empty
+    table gives an empty result; extra columns are not read.
+    """
     model = docs.sparkSession.sparkContext.broadcast((langs, matrix))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,7 +141,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Fits on the labelled rows that are not held out and predicts every row: id, held_out, lang_pred, score."""
+    """Fits on the labelled rows that are not held out and predicts every row: id, held_out, lang_pred, score.
+
+    Rows with a null id or a null language teach nothing and are predicted like others; see ``predict`` for the rest.
+    """
     fold = docs.where(~held_out(id_col) & F.col(id_col).isNotNull())
     langs, matrix = fit(fold, text_col, lang_col)
     return predict(docs, langs, matrix, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")

@@ -133,7 +133,10 @@ def licences(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each licence found: id, licence, start_char, end_char. Repeated rows repeat theirs; extra columns are not read."""
+    """A row for each licence found: id, licence, start_char, end_char. Repeated rows repeat theirs; extra columns are not read.
+
+    Null and empty texts give no row, null ids stay null, and an empty table gives an empty result.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = [(r, *x) for r, t in enumerate(batch.column(1).to_pylist()) for x in licences(t)]

@@ -60,6 +60,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id and COUNTS. Null and empty texts count zero; null ids stay null; extra columns are not read."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = np.array([counts(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)], ["id", *COUNTS])
@@ -154,7 +155,10 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
 
 
 def keep(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns, in place: no row is joined by its id or shuffled."""
+    """The documents that ``judge`` keeps, with all their columns, in place: no row is joined by its id or shuffled.
+
+    Null, empty and short texts go; rows with null ids and repeated rows are judged like others; an empty table stays empty.
+    """
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         rows = np.array([counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS))

@@ -99,8 +99,8 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
-    Null and empty texts have no spans. Repeated rows give a row each; extra
-    columns are not read.
+    Null and empty texts have no spans, null ids stay null. Repeated rows give a row each; extra columns are not read. An
+    empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -69,7 +69,8 @@ def cuts(data: bytes) -> list[int]:
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each chunk: id, digest (96 bits as two numbers) and its place in one number.
 
-    at = start << 16 | characters << 8 | words begun in it: few bytes, as every chunk of the corpus is shuffled.
+    at = start << 16 | characters << 8 | words begun in it: few bytes, as every chunk of the corpus is shuffled. Null and
+    empty texts have no chunks; repeated rows repeat theirs; extra columns are not read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
