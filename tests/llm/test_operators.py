@@ -350,6 +350,23 @@ def test_repeated_spans(spark, odd, empty):
     assert substring_dedup.repeated_spans(odd).count() == 0 and substring_dedup.repeated_spans(empty).count() == 0
 
 
+def test_passages_of_over_fifty_words(spark):
+    """One passage in two texts that share nothing else: 51 words and more are found, 50 are not; white space may differ."""
+    r = random.Random(21)
+    made = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    texts, size = [], {}
+    for i in range(400):
+        size[i], passage = (50, 51, 55, 70)[i % 4], made((50, 51, 55, 70)[i % 4])
+        texts += [(2 * i, f"{made(60)} {passage} {made(40)}"), (2 * i + 1, f"{made(r.randint(0, 80))} {passage}\n{made(r.randint(0, 9))}")]
+    words = made(60).split()
+    texts += [(900, " ".join(words)), (901, " ".join(words[:30]) + "\n\n" + " ".join(words[30:])), (902, "de " * 90), (903, "so la " + "de " * 80 + "et")]
+    found = {x["doc_id"] for x in substring_dedup.repeated_spans(frame(spark, texts)).collect()}
+    assert found >= {900, 901, 902, 903} and not any(size.get(i // 2) == 50 for i in found)
+    wanted = {i for i, _ in texts if size.get(i // 2, 50) > 50}
+    assert len(wanted - found) <= 0.005 * len(wanted)
+    assert {i for i, _ in texts if size.get(i // 2) == 70} <= found
+
+
 def test_one_copy_of_a_repeat_stays(spark):
     r = random.Random(20)
     made = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(n))
@@ -572,7 +589,7 @@ def test_sketches_are_summed_in_a_tree(spark, monkeypatch):
 
 
 def slow_spans(docs, least_words=substring_dedup.LEAST_WORDS):
-    """Repeated spans by the rule: chunks cut byte by byte, looked up by their bytes."""
+    """Repeated spans by the rule: chunks cut byte by byte, looked up by their bytes; then each run's windows by their words."""
     parts = {}
     for i, text in docs.items():
         data, out, last, hashes, h = text.encode(), [], 0, [], 0
@@ -583,9 +600,11 @@ def slow_spans(docs, least_words=substring_dedup.LEAST_WORDS):
         while last < len(data):
             end = next((e for e in range(last + substring_dedup.LEAST, min(len(data), last + substring_dedup.GREATEST) + 1) if hashes[e - 1] >> (32 - substring_dedup.MASK_BITS) == 0 and edge(e)), None)
             if end is None:
-                end = min(len(data), last + substring_dedup.GREATEST)
-                while not edge(end):
-                    end -= 1
+                end = len(data)
+                if end - last > substring_dedup.GREATEST:
+                    ends = [e for e in range(last + substring_dedup.LEAST, last + substring_dedup.GREATEST + 1) if edge(e)]
+                    again = any(hashes[e - 1] == hashes[ends[-1] - 1] for e in ends[:-1])
+                    end = min(ends, key=lambda e: hashes[e - 1]) if again else ends[-1]
             out.append((last, end))
             last = end
         parts[i] = [(len(data[:a].decode()), len(data[:b].decode()), data[a:b], sum((k == 0 or data[k - 1 : k].isspace()) and not data[k : k + 1].isspace() for k in range(a, b))) for a, b in out]
@@ -594,21 +613,31 @@ def slow_spans(docs, least_words=substring_dedup.LEAST_WORDS):
         for *_, chunk, _ in parts[i]:
             first.setdefault(chunk, i)
             last[chunk] = i
-    found = set()
+    runs = []
     for i, chunks in parts.items():
-        run = []
+        words, run = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", docs[i])], []
         for c in [*chunks, None]:
             if c and first[c[2]] < last[c[2]]:
                 run.append(c)
                 continue
-            if sum(x[3] for x in run) >= least_words:
-                start = 0
-                for k in range(1, len(run) + 1):
-                    if k == len(run) or first[run[k][2]] != first[run[start][2]]:
-                        piece, of = run[start:k], first[run[start][2]]
-                        found.add((i, piece[0][0], piece[-1][1], len(piece), sum(x[3] for x in piece), of, of == i))
-                        start = k
+            if sum(x[3] for x in run) >= substring_dedup.SEED_WORDS:
+                inside = [k for k, (at, _) in enumerate(words) if run[0][0] <= at < run[-1][1]]
+                windows = {tuple(w for _, w in words[k : k + least_words]) for k in range(len(words) - least_words + 1) if sum(k <= x < k + least_words for x in inside) >= substring_dedup.SEED_WORDS}
+                runs.append((i, run, windows))
             run = []
+    holders = collections.defaultdict(set)
+    for i, _, windows in runs:
+        for w in windows:
+            holders[w].add(i)
+    found = set()
+    for i, run, windows in runs:
+        if any(len(holders[w]) > 1 for w in windows):
+            start = 0
+            for k in range(1, len(run) + 1):
+                if k == len(run) or first[run[k][2]] != first[run[start][2]]:
+                    piece, of = run[start:k], first[run[start][2]]
+                    found.add((i, piece[0][0], piece[-1][1], len(piece), sum(x[3] for x in piece), of, of == i))
+                    start = k
     return found
 
 
