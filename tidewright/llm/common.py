@@ -173,13 +173,18 @@ class Scratch:
         return out
 
     def drop(self, *names: str) -> None:
-        """Deletes these tables. Shuffle files of ended jobs go with the driver's garbage, so that is collected too."""
+        """Deletes these tables, and the shuffle files of ended jobs."""
         paths = [self.paths.pop(n) for n in names]
         spark = _paths[paths[0]]
         for path in paths:
             _delete(path)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        let_go(spark)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of ended jobs go with the driver's garbage, so that is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _delete(path: str) -> None:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows, may_hold
+from .common import Scratch, let_go, map_rows, may_hold
 
 #: Least and greatest chunk in bytes; beyond the least, one byte in 2^MASK_BITS ends a chunk.
 LEAST, GREATEST, MASK_BITS = 16, 128, 4
@@ -170,6 +170,7 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     every = t.write(chunks(docs, id_col, text_col), "chunks")
     known = every.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     known = t.write(known.where("first < last").select("d1", "d2", "first"), "repeats")
+    let_go(docs.sparkSession)
     marked = every.join(known, ["d1", "d2"]).select("id", "at", "first").distinct()
     start, stop = F.shiftright("at", 16), F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(255)
     marked = marked.select("id", start.alias("start"), stop.alias("stop"), F.col("at").bitwiseAND(255).alias("words"), "first")
@@ -182,13 +183,17 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     spans = spans.agg(F.min("start").alias("start_char"), F.max("stop").alias("end_char"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.min("first").alias("first_id"))
     spans = spans.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("id", "run")))
     spans = t.write(spans.where(F.col("run_words") >= SEED_WORDS).drop("run_words", "part"), "spans")
+    del every, known, marked
     t.drop("chunks", "repeats")
     runs = spans.groupBy("id", "run").agg(F.min("start_char").alias("start"), F.max("end_char").alias("stop"))
     runs = runs.groupBy("id").agg(F.collect_list(F.struct("run", "start", "stop")).alias("runs"))
     texts = may_hold(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), runs.select("id"), "id").join(runs, "id")
     seen = t.write(_windows(texts, least_words, docs.schema[id_col].dataType.simpleString()), "windows")
+    del runs, texts
+    let_go(docs.sparkSession)
     shared = seen.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     shared = t.write(shared.select("window"), "shared")
+    let_go(docs.sparkSession)
     held = t.write(seen.join(shared, "window", "left_semi").select("id", "run").distinct(), "held")
     t.drop("windows", "shared")
     spans = spans.join(held, ["id", "run"], "left_semi").withColumn("is_first", F.col("first_id") == F.col("id"))
