@@ -8,6 +8,7 @@ import os
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -182,9 +183,11 @@ class Scratch:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Shuffle files of ended jobs go with the driver's garbage, so that is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files of ended jobs go with the driver's garbage, so that is collected: twice, as listeners may lag behind."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def _delete(path: str) -> None:
