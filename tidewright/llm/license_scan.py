@@ -1,7 +1,8 @@
 """Licence scans by sentence and rule.
 
 A text's sentences are normalised and mapped to identifiers of known licence sentences; the sequence of identifiers is
-then matched against ordered rules, the first and longest that fits at a place giving the licence.
+then matched against ordered rules, the first and longest that fits at a place giving the licence. A sentence is known
+whatever it says is licensed ("this file is", "the software is") and whichever verb it uses for that.
 """
 
 from __future__ import annotations
@@ -29,8 +30,13 @@ SENTENCES = {
     "gpl2.name": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "released under the gnu general public license version 2", "gnu general public license version 2", "licensed under gpl v2"],
     "gpl.free3": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl.free2": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "agpl.free3": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl.free3": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "lgpl.free21": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
     "gpl.hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl.details": ["see the gnu general public license for more details"],
+    "agpl.details": ["see the gnu affero general public license for more details"],
+    "lgpl.details": ["see the gnu lesser general public license for more details"],
     "lgpl.name": ["licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license"],
     "agpl3.name": ["licensed under the gnu affero general public license version 3", "gnu affero general public license version 3", "gnu affero general public license"],
     "bsd.name": ["licensed under the bsd license", "released under the bsd license", "bsd license"],
@@ -56,6 +62,9 @@ RULES = [
     ("Apache-2.0", ["apache2.name", "apache2.comply", "apache2.copy?", "apache2.basis?", "apache2.see?"]),
     ("GPL-3.0-or-later", ["gpl.free3", "gpl.hope?", "gpl.details?"]),
     ("GPL-2.0-or-later", ["gpl.free2", "gpl.hope?", "gpl.details?"]),
+    ("AGPL-3.0-or-later", ["agpl.free3", "gpl.hope?", "agpl.details?"]),
+    ("LGPL-3.0-or-later", ["lgpl.free3", "gpl.hope?", "lgpl.details?"]),
+    ("LGPL-2.1-or-later", ["lgpl.free21", "gpl.hope?", "lgpl.details?"]),
     ("BSD-3-Clause", ["bsd3.name?", "bsd.redistribute", "bsd.source", "bsd.binary", "bsd.endorse"]),
     ("BSD-2-Clause", ["bsd2.name?", "bsd.redistribute", "bsd.source", "bsd.binary"]),
     ("ISC", ["isc.permission", "asis?"]),
@@ -77,13 +86,27 @@ RULES = [
     ("CC0-1.0", ["cc0.name"]),
     ("Proprietary", ["proprietary"]),
 ]
-KNOWN = {s: k for k, every in SENTENCES.items() for s in every}
+#: What a sentence may say is licensed, and the verbs that all count as "licensed" before "under".
+THINGS = ["file", "software", "project", "code", "source code", "program", "library", "package", "module", "work", "document", "repository"]
+VERBS = ["licensed", "released", "distributed", "available", "made available", "published", "provided"]
+_SUBJECTS = [f"{a}{t} is " for a in ("this ", "the ", "") for t in THINGS]
+_SUBJECT = re.compile("|".join(_SUBJECTS))
+_VERB = re.compile(rf"(?:{'|'.join(VERBS)}) under (?:the terms of )?")
+
+
+def plain(sentence: str) -> str:
+    """A normalised sentence without its subject, and with one verb for all; applied to known sentences and to texts."""
+    sentence = _SUBJECT.sub("", sentence, count=1) if _SUBJECT.match(sentence) else sentence
+    return _VERB.sub("licensed under ", sentence, count=1) if _VERB.match(sentence) else sentence
+
+
+KNOWN = {plain(s): k for k, every in SENTENCES.items() for s in every}
 #: Beginnings of known sentences, by words, so that wrapped lines are joined only as far as one may match.
-_STARTS = {" ".join(w[:i]) for s in KNOWN for w in [s.split()] for i in range(1, len(w) + 1)}
+_STARTS = {" ".join(w[:i]) for s in [*KNOWN, *_SUBJECTS, *(f"{v} under the terms of" for v in VERBS)] for w in [s.split()] for i in range(1, len(w) + 1)}
 _PIECE = re.compile(r"[^.!?;:\n]+(?:[.:](?=[\w/])[^.!?;:\n]+)*")
 _WORD = re.compile(r"[^\W_]+")
 _SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
-_HINT = re.compile(r"licen[sc]|permission|copyright|redistribution|warrant|public domain|rights reserved|cc0|free software|noninfringement|liable", re.I)
+_HINT = re.compile(r"licen[sc]|permission|copyright|redistribution|warrant|public domain|rights reserved|cc0|free software|noninfringement|liable|gpl|cc[\W_]+by", re.I)
 
 
 def sentence_ids(text: str) -> list[tuple[str, int, int]]:
@@ -95,9 +118,10 @@ def sentence_ids(text: str) -> list[tuple[str, int, int]]:
         joined, best, j = "", None, i
         while j < len(pieces):
             joined = f"{joined} {pieces[j][0]}" if joined else pieces[j][0]
-            if joined in KNOWN:
-                best = (KNOWN[joined], j)
-            if joined not in _STARTS:
+            short = plain(joined)
+            if short in KNOWN:
+                best = (KNOWN[short], j)
+            if short not in _STARTS:
                 break
             j += 1
         if best:
