@@ -22,11 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id.
+    """One document of each group of near copies, the one with the least id: five-word shingles, a similarity of 0.8 or more.
 
     Null and empty texts stay, rows with a null id stay, and of rows with one id one stays.
     """
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, percent=80, k=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
